@@ -1,0 +1,182 @@
+"""DuckDB oracle SQL for the registered queries.
+
+Written independently of the Spark code: the quantile is taken by
+``row_number`` over the sorted group (not a value histogram), the element
+combination uses distinct keys + three LEFT JOINs (not a pivot), and
+previous-row logic uses self-joins rather than ``lag``.  Only the fixture
+rules in ``stationclim/sources/testviews.py`` are shared.
+"""
+
+from __future__ import annotations
+
+# --------------------------------------------------------------------------- fixture views
+
+T_OBS = """
+t_obs AS (
+  SELECT
+    (['CHM000','JA0000','KSM000','FRE000','GMM000','UKE000','IDM000','MXM000','JAW000','USW000'])[s_nationkey % 10 + 1]
+      || lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS ID,
+    CASE l_returnflag WHEN 'A' THEN 'TMIN' WHEN 'N' THEN 'TMAX' WHEN 'R' THEN 'PRCP' END AS ELEMENT,
+    CAST(CAST(l_shipdate AS DATE) - INTERVAL 28 YEAR AS DATE) AS DATE,
+    CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) * 7 - 100 END AS DATA_VALUE
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+)"""
+
+# Per (ID, ELEMENT, YEAR, MONTH, DAY): nearest-rank P10/P90 by row_number.
+YEAR_DAY = """
+obs70 AS (
+  SELECT ID, ELEMENT, DATA_VALUE,
+         CAST(year(DATE) AS INTEGER) AS YEAR, CAST(month(DATE) AS INTEGER) AS MONTH,
+         CAST(day(DATE) AS INTEGER) AS DAY_OF_MONTH
+  FROM t_obs WHERE DATE >= DATE '1970-01-01'
+),
+yd_rank AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY ID, ELEMENT, YEAR, MONTH, DAY_OF_MONTH ORDER BY DATA_VALUE NULLS LAST) - 1 AS rn0,
+    count(DATA_VALUE) OVER (PARTITION BY ID, ELEMENT, YEAR, MONTH, DAY_OF_MONTH) AS n
+  FROM obs70
+),
+yd AS (
+  SELECT ID, ELEMENT, YEAR, MONTH, DAY_OF_MONTH,
+    max(CASE WHEN DATA_VALUE IS NOT NULL AND rn0 = round((n - 1) * 0.1::DOUBLE) THEN DATA_VALUE END) AS P10,
+    max(CASE WHEN DATA_VALUE IS NOT NULL AND rn0 = round((n - 1) * 0.9::DOUBLE) THEN DATA_VALUE END) AS P90,
+    min(DATA_VALUE) AS MIN, max(DATA_VALUE) AS MAX,
+    CAST(coalesce(sum(DATA_VALUE), 0) AS BIGINT) AS SUM,
+    count(DATA_VALUE) AS COUNT
+  FROM yd_rank GROUP BY ID, ELEMENT, YEAR, MONTH, DAY_OF_MONTH
+)"""
+
+# Per (ID, ELEMENT, YEAR, MONTH) of non-null values.
+YEAR_MONTH = """
+obs70m AS (
+  SELECT ID, ELEMENT, DATA_VALUE,
+         CAST(year(DATE) AS INTEGER) AS YEAR, CAST(month(DATE) AS INTEGER) AS MONTH
+  FROM t_obs WHERE DATE >= DATE '1970-01-01' AND DATA_VALUE IS NOT NULL
+),
+ym_rank AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY ID, ELEMENT, YEAR, MONTH ORDER BY DATA_VALUE) - 1 AS rn0,
+    count(*) OVER (PARTITION BY ID, ELEMENT, YEAR, MONTH) AS n
+  FROM obs70m
+),
+ym AS (
+  SELECT ID, ELEMENT, YEAR, MONTH,
+    max(CASE WHEN rn0 = round((n - 1) * 0.1::DOUBLE) THEN DATA_VALUE END) AS P10,
+    max(CASE WHEN rn0 = round((n - 1) * 0.9::DOUBLE) THEN DATA_VALUE END) AS P90,
+    min(DATA_VALUE) AS MIN, max(DATA_VALUE) AS MAX,
+    CAST(sum(DATA_VALUE) AS BIGINT) AS SUM,
+    count(*) AS COUNT,
+    make_date(YEAR, MONTH, 1) AS PERIOD_START
+  FROM ym_rank GROUP BY ID, ELEMENT, YEAR, MONTH
+)"""
+
+# Scale factor per element, rounding to 2 decimals (half-even on the binary value).
+def sc(expr: str, element_col: str = "ELEMENT") -> str:
+    return f"({expr}) / (CASE WHEN {element_col} IN ('TMIN','TMAX') THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END)"
+
+
+def r2(expr: str) -> str:
+    return f"round_even(({expr}) * 100.0::DOUBLE, 0) / 100.0::DOUBLE"
+
+
+DAILY_CLIM_LONG = """
+dc AS (
+  SELECT ID, ELEMENT, MONTH, DAY_OF_MONTH,
+    avg(P10) AS P10, avg(P90) AS P90, min(MIN) AS MIN, max(MAX) AS MAX, avg(SUM) AS SUM
+  FROM yd GROUP BY ID, ELEMENT, MONTH, DAY_OF_MONTH
+)"""
+
+MONTHLY_CLIM_LONG = """
+mc AS (
+  SELECT ID, ELEMENT, MONTH,
+    avg(P10) AS P10, avg(P90) AS P90, min(MIN) AS MIN, max(MAX) AS MAX, avg(SUM) AS SUM
+  FROM ym GROUP BY ID, ELEMENT, MONTH
+)"""
+
+DAILY = """
+dkeys AS (SELECT DISTINCT ID, MONTH, DAY_OF_MONTH FROM dc),
+daily AS (
+  SELECT k.ID,
+    CAST(row_number() OVER (PARTITION BY k.ID ORDER BY k.MONTH, k.DAY_OF_MONTH) AS INTEGER) AS DAY,
+    {tmin_p10} AS TMIN_P10, {tmax_p90} AS TMAX_P90, {tmin_min} AS TMIN_MIN, {tmax_max} AS TMAX_MAX,
+    {prcp_sum} AS PRCP_SUM, k.MONTH AS MONTH, k.DAY_OF_MONTH AS DAY_OF_MONTH
+  FROM dkeys k
+  LEFT JOIN dc a ON a.ID = k.ID AND a.MONTH = k.MONTH AND a.DAY_OF_MONTH = k.DAY_OF_MONTH AND a.ELEMENT = 'TMIN'
+  LEFT JOIN dc b ON b.ID = k.ID AND b.MONTH = k.MONTH AND b.DAY_OF_MONTH = k.DAY_OF_MONTH AND b.ELEMENT = 'TMAX'
+  LEFT JOIN dc c ON c.ID = k.ID AND c.MONTH = k.MONTH AND c.DAY_OF_MONTH = k.DAY_OF_MONTH AND c.ELEMENT = 'PRCP'
+)""".format(
+    tmin_p10=r2("a.P10 / 10.0::DOUBLE"),
+    tmax_p90=r2("b.P90 / 10.0::DOUBLE"),
+    tmin_min=r2("a.MIN / 10.0::DOUBLE"),
+    tmax_max=r2("b.MAX / 10.0::DOUBLE"),
+    prcp_sum=r2("c.SUM / 1.0::DOUBLE"),
+)
+
+MONTHLY = """
+mkeys AS (SELECT DISTINCT ID, MONTH FROM mc),
+monthly AS (
+  SELECT k.ID, k.MONTH AS MONTH,
+    {tmin_p10} AS TMIN_P10, {tmax_p90} AS TMAX_P90, {tmin_min} AS TMIN_MIN, {tmax_max} AS TMAX_MAX,
+    {prcp_sum} AS PRCP_SUM
+  FROM mkeys k
+  LEFT JOIN mc a ON a.ID = k.ID AND a.MONTH = k.MONTH AND a.ELEMENT = 'TMIN'
+  LEFT JOIN mc b ON b.ID = k.ID AND b.MONTH = k.MONTH AND b.ELEMENT = 'TMAX'
+  LEFT JOIN mc c ON c.ID = k.ID AND c.MONTH = k.MONTH AND c.ELEMENT = 'PRCP'
+)""".format(
+    tmin_p10=r2("a.P10 / 10.0::DOUBLE"),
+    tmax_p90=r2("b.P90 / 10.0::DOUBLE"),
+    tmin_min=r2("a.MIN / 10.0::DOUBLE"),
+    tmax_max=r2("b.MAX / 10.0::DOUBLE"),
+    prcp_sum=r2("c.SUM / 1.0::DOUBLE"),
+)
+
+
+def _hist_cols() -> str:
+    out = []
+    for alias, e in (("a", "TMIN"), ("b", "TMAX"), ("c", "PRCP")):
+        for s in ("P10", "P90", "MIN", "MAX", "SUM"):
+            if e in ("TMIN", "TMAX"):
+                out.append(f"{r2(f'{alias}.{s} / 10.0::DOUBLE')} AS {e}_{s}")
+            elif s in ("P10", "P90"):
+                out.append(f"{r2(f'CAST({alias}.{s} AS DOUBLE)')} AS {e}_{s}")
+            else:
+                out.append(f"{alias}.{s} AS {e}_{s}")
+    for alias, e in (("a", "TMIN"), ("b", "TMAX"), ("c", "PRCP")):
+        out.append(f"{alias}.COUNT AS {e}_ENTRY_COUNT")
+    return ",\n    ".join(out)
+
+
+HISTORY = f"""
+hkeys AS (SELECT ID, YEAR, MONTH, min(PERIOD_START) AS PERIOD_START FROM ym GROUP BY ID, YEAR, MONTH),
+history AS (
+  SELECT k.ID, k.PERIOD_START, k.YEAR, k.MONTH,
+    {_hist_cols()}
+  FROM hkeys k
+  LEFT JOIN ym a ON a.ID = k.ID AND a.YEAR = k.YEAR AND a.MONTH = k.MONTH AND a.ELEMENT = 'TMIN'
+  LEFT JOIN ym b ON b.ID = k.ID AND b.YEAR = k.YEAR AND b.MONTH = k.MONTH AND b.ELEMENT = 'TMAX'
+  LEFT JOIN ym c ON c.ID = k.ID AND c.YEAR = k.YEAR AND c.MONTH = k.MONTH AND c.ELEMENT = 'PRCP'
+)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",".join(ctes)
+
+
+def q_daily() -> str:
+    return with_(T_OBS, YEAR_DAY, DAILY_CLIM_LONG, DAILY) + "\nSELECT * FROM daily"
+
+
+def q_monthly() -> str:
+    return with_(T_OBS, YEAR_MONTH, MONTHLY_CLIM_LONG, MONTHLY) + "\nSELECT * FROM monthly"
+
+
+def q_history() -> str:
+    return with_(T_OBS, YEAR_MONTH, HISTORY) + "\nSELECT * FROM history"
+
+
+def build() -> dict[str, str]:
+    return {
+        "assemble_daily": q_daily(),
+        "assemble_monthly": q_monthly(),
+        "assemble_history": q_history(),
+    }

@@ -39,12 +39,10 @@ def summarize_histogram(hist: DataFrame, keys: Sequence[str], value: str = "DATA
     """
     v = F.col(value)
     nonnull_c = F.when(v.isNotNull(), F.col("C"))
-    w_group = Window.partitionBy(*keys)
-    w_running = (
-        Window.partitionBy(*keys)
-        .orderBy(v.asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # Both frames share one ordering so Spark evaluates them in a single sort + window pass.
+    ordered = Window.partitionBy(*keys).orderBy(v.asc_nulls_last())
+    w_group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w_running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = hist.withColumn("_N", F.sum(nonnull_c).over(w_group)).withColumn(
         "_CUM", F.sum("C").over(w_running)
     )

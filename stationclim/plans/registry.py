@@ -1,7 +1,10 @@
 """Registered queries: operator id -> ``(spark, sf_dir) -> DataFrame``.
 
-Every query reads the driver's tables (through the fixture views in
-``sources/testviews.py``) in full, so its work grows with the data.
+Every query reads the driver's tables in full through the fixture views in
+``sources/testviews.py`` (observations from lineitem x supplier, station
+lines from nation, wide files from the observations), so its work grows
+with the data.  Sink / scan queries write to a fresh folder under the shared
+checkpoint directory and return what they read back.
 """
 
 from __future__ import annotations
@@ -9,13 +12,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import exprs as X
+from ..operators import chart as ch
 from ..operators import climatology as clim
+from ..operators import stations as st
+from ..operators import wide as wd
+from ..plans import jobs
+from ..schema import DAILY_COLUMNS, ELEMENTS, HISTORY_COLUMNS, MONTHLY_COLUMNS, STATS
+from ..session import scratch_path
+from ..sinks import writers
 from ..sources import testviews as tv
+from ..sources.observations import parse_obs_dates, scan_obs_merged, scan_obs_partitioned
+from ..sources.outputs import scan_output_csv
+from ..sources.stations import filter_blank_lines, parse_station_lines, scan_stations_fixed_width
+from ..sources.wide import scan_wide_station_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Fixture parameters of individual queries.
+BOUNDS = {"south": -40.0, "west": -150.0, "north": 40.0, "east": 150.0}
+COMPARE_IDS = ("CHM00000000", "JA000000001", "KSM00000002")
+ROUND_TIE_DIVISOR = 8.0  # v / 8 ends in .125 / .375 / ..., exact ties at 2 decimals
+
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -25,16 +47,449 @@ def register(name: str):
     return deco
 
 
+# --------------------------------------------------------------------------- shared inputs
+
+def obs(spark, sf_dir) -> DataFrame:
+    return tv.t_obs(spark, sf_dir)
+
+
+def stations(spark, sf_dir) -> DataFrame:
+    return parse_station_lines(tv.t_station_lines(spark, sf_dir))
+
+
+def matched_stations(spark, sf_dir) -> DataFrame:
+    return st.filter_station_prefix(stations(spark, sf_dir))
+
+
+def flagged_stations(spark, sf_dir) -> DataFrame:
+    """Matched stations with MISSING, observations of IDs ending in 7 removed."""
+    o = obs(spark, sf_dir).where(~F.col("ID").endswith("7"))
+    return st.flag_missing(matched_stations(spark, sf_dir), clim.daily_output(o), clim.monthly_output(o))
+
+
+def day_summary(spark, sf_dir) -> DataFrame:
+    return clim.year_day_summary(clim.day_histogram(obs(spark, sf_dir)))
+
+
+def month_summary(spark, sf_dir) -> DataFrame:
+    return clim.year_month_summary(clim.month_histogram(obs(spark, sf_dir)))
+
+
+def write_raw(spark, sf_dir) -> str:
+    path = scratch_path(spark, "raw")
+    tv.t_raw(spark, sf_dir).write.partitionBy("STATION", "ELEMENT").parquet(path)
+    return path
+
+
+def write_merged(spark, sf_dir) -> str:
+    raw = write_raw(spark, sf_dir)
+    path = scratch_path(spark, "merged")
+    jobs.merge_job(spark, raw, path)
+    return path
+
+
+def _round_doubles(df: DataFrame) -> DataFrame:
+    return df.select(
+        *[X.round2(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    )
+
+
+# --------------------------------------------------------------------------- 2.1 scans
+
+@register("scan_obs_partitioned")
+def q_scan_obs_partitioned(spark, sf_dir):
+    return scan_obs_partitioned(spark, write_raw(spark, sf_dir))
+
+
+@register("scan_obs_merged")
+def q_scan_obs_merged(spark, sf_dir):
+    return scan_obs_merged(spark, write_merged(spark, sf_dir))
+
+
+@register("scan_stations_fixed_width")
+def q_scan_stations_fixed_width(spark, sf_dir):
+    path = scratch_path(spark, "stations")
+    tv.t_station_lines(spark, sf_dir).write.text(path)
+    return scan_stations_fixed_width(spark, path)
+
+
+@register("scan_wide_station_file")
+def q_scan_wide_station_file(spark, sf_dir):
+    path = scratch_path(spark, "wide")
+    tv.t_wide(spark, sf_dir).write.partitionBy("STATION").parquet(path)
+    return scan_wide_station_file(spark, path)
+
+
+@register("scan_output_csv")
+def q_scan_output_csv(spark, sf_dir):
+    path = scratch_path(spark, "monthly-csv")
+    writers.write_station_csv(clim.monthly_output(obs(spark, sf_dir)), path, "monthly")
+    return scan_output_csv(spark, path, "monthly")
+
+
+# --------------------------------------------------------------------------- 2.2 sinks
+
+@register("sink_merged_parquet")
+def q_sink_merged_parquet(spark, sf_dir):
+    path = write_merged(spark, sf_dir)
+    return spark.read.parquet(path).select("ID", "ELEMENT", "DATE", "DATA_VALUE")
+
+
+def _csv_roundtrip(spark, df: DataFrame, kind: str) -> DataFrame:
+    path = scratch_path(spark, f"{kind}-csv")
+    writers.write_station_csv(df, path, kind)
+    cols = writers.COLUMNS[kind]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] + [
+        T.StructField("PFX", T.StringType()), T.StructField("ID", T.StringType())])
+    back = spark.read.schema(schema).option("header", True).option("basePath", path).csv(path)
+    return back.select("PFX", "ID", *cols)
+
+
+@register("sink_daily_csv")
+def q_sink_daily_csv(spark, sf_dir):
+    return _csv_roundtrip(spark, clim.daily_output(obs(spark, sf_dir)), "daily")
+
+
+@register("sink_monthly_csv")
+def q_sink_monthly_csv(spark, sf_dir):
+    return _csv_roundtrip(spark, clim.monthly_output(obs(spark, sf_dir)), "monthly")
+
+
+@register("sink_history_csv")
+def q_sink_history_csv(spark, sf_dir):
+    return _csv_roundtrip(spark, clim.history_output(obs(spark, sf_dir)), "history")
+
+
+SUMMARY_SCHEMA = "TMIN_raw_count bigint, TMAX_raw_count bigint, PRCP_raw_count bigint, monthly_history_rows bigint, PFX string, ID string"
+
+
+@register("sink_summary_json")
+def q_sink_summary_json(spark, sf_dir):
+    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir), checkpoint=False)
+    frames = []
+    for period, df in (("daily", out.daily_summary), ("monthly", out.monthly_summary)):
+        path = scratch_path(spark, f"{period}-stats")
+        writers.write_summary_json(df, path)
+        back = spark.read.schema(SUMMARY_SCHEMA).option("basePath", path).json(path)
+        frames.append(back.withColumn("PERIOD", F.lit(period)))
+    return frames[0].unionByName(frames[1])
+
+
+@register("sink_geojson")
+def q_sink_geojson(spark, sf_dir):
+    path = scratch_path(spark, "geojson")
+    writers.write_geojson(st.geojson_features(flagged_stations(spark, sf_dir)), path)
+    return st.parse_features(writers.read_geojson_features(spark, path))
+
+
+@register("sink_mode")
+def q_sink_mode(spark, sf_dir):
+    """Overwrite, then a second write in ``ignore`` mode leaves the first output."""
+    path = scratch_path(spark, "mode")
+    monthly = clim.monthly_output(obs(spark, sf_dir))
+    writers.write_station_csv(monthly, path, "monthly", mode="overwrite")
+    writers.write_station_csv(monthly.where(F.lit(False)), path, "monthly", mode="ignore")
+    return scan_output_csv(spark, path, "monthly")
+
+
+@register("sink_skip_empty")
+def q_sink_skip_empty(spark, sf_dir):
+    """Station directories written for the monthly output (no empty stations)."""
+    o = obs(spark, sf_dir).where(~F.col("ID").endswith("7"))
+    path = scratch_path(spark, "skip-empty")
+    writers.write_station_csv(clim.monthly_output(o), path, "monthly")
+    return scan_output_csv(spark, path, "monthly").select("ID").distinct()
+
+
+# --------------------------------------------------------------------------- 2.3 projections / filters
+
+@register("parse_date")
+def q_parse_date(spark, sf_dir):
+    raw = tv.t_raw(spark, sf_dir).select("ID", "ELEMENT", "DATE", "DATA_VALUE")
+    return parse_obs_dates(raw)
+
+
+@register("filter_from_1970")
+def q_filter_from_1970(spark, sf_dir):
+    return clim.filter_from(obs(spark, sf_dir))
+
+
+@register("filter_not_null")
+def q_filter_not_null(spark, sf_dir):
+    return clim.filter_not_null(obs(spark, sf_dir))
+
+
+@register("filter_station")
+def q_filter_station(spark, sf_dir):
+    return st.filter_station(obs(spark, sf_dir), matched_stations(spark, sf_dir))
+
+
+@register("filter_station_prefix")
+def q_filter_station_prefix(spark, sf_dir):
+    return matched_stations(spark, sf_dir)
+
+
+@register("filter_blank_lines")
+def q_filter_blank_lines(spark, sf_dir):
+    lines = filter_blank_lines(tv.t_station_lines(spark, sf_dir))
+    return lines.select(X.strip_ws(X.fixed_slice("value", 0, 11)).alias("ID"), F.length("value").alias("LINE_LENGTH"))
+
+
+@register("scale_tenths")
+def q_scale_tenths(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    return o.select("ID", "ELEMENT", "DATE", X.scale_tenths("ELEMENT", "DATA_VALUE").alias("VALUE"))
+
+
+@register("date_parts")
+def q_date_parts(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    return clim.with_date_parts(o).withColumn("DAY_OF_YEAR", X.ordinal_day("DATE"))
+
+
+@register("period_start")
+def q_period_start(spark, sf_dir):
+    o = clim.with_date_parts(obs(spark, sf_dir))
+    return o.select("ID", "ELEMENT", "DATE", X.period_start("YEAR", "MONTH").alias("PERIOD_START"))
+
+
+@register("round_2")
+def q_round_2(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    return o.select("ID", "ELEMENT", "DATE", X.round2(F.col("DATA_VALUE") / ROUND_TIE_DIVISOR).alias("VALUE"))
+
+
+@register("station_path_prefix")
+def q_station_path_prefix(spark, sf_dir):
+    return st.with_path_prefix(stations(spark, sf_dir)).select("ID", "PFX")
+
+
+@register("lookup_station")
+def q_lookup_station(spark, sf_dir):
+    return st.lookup_station(stations(spark, sf_dir), obs(spark, sf_dir).select("ID"))
+
+
+@register("filter_bounds")
+def q_filter_bounds(spark, sf_dir):
+    return st.filter_bounds(flagged_stations(spark, sf_dir), **BOUNDS)
+
+
+@register("heat_points")
+def q_heat_points(spark, sf_dir):
+    return st.heat_points(flagged_stations(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- 2.4 aggregations
+
+@register("agg_nearest_quantile")
+def q_agg_nearest_quantile(spark, sf_dir):
+    return month_summary(spark, sf_dir).select(*clim.MONTH_KEYS, "P10", "P90")
+
+
+@register("agg_year_day")
+def q_agg_year_day(spark, sf_dir):
+    return day_summary(spark, sf_dir)
+
+
+@register("agg_daily_climatology")
+def q_agg_daily_climatology(spark, sf_dir):
+    return _round_doubles(clim.daily_climatology_long(day_summary(spark, sf_dir)))
+
+
+@register("agg_year_month")
+def q_agg_year_month(spark, sf_dir):
+    return month_summary(spark, sf_dir)
+
+
+@register("agg_monthly_history")
+def q_agg_monthly_history(spark, sf_dir):
+    ym = month_summary(spark, sf_dir)
+    return ym.select(
+        *clim.MONTH_KEYS, "PERIOD_START",
+        *[X.round2(clim.scaled(s)).alias(s) for s in STATS],
+        F.col("COUNT").alias("ENTRY_COUNT"),
+    )
+
+
+@register("agg_monthly_climatology")
+def q_agg_monthly_climatology(spark, sf_dir):
+    return _round_doubles(clim.monthly_climatology_long(month_summary(spark, sf_dir)))
+
+
+@register("agg_raw_count")
+def q_agg_raw_count(spark, sf_dir):
+    return clim.raw_counts(obs(spark, sf_dir))
+
+
+@register("agg_history_rows")
+def q_agg_history_rows(spark, sf_dir):
+    return clim.history_rows(clim.history_output(obs(spark, sf_dir)))
+
+
+@register("agg_min_period_start")
+def q_agg_min_period_start(spark, sf_dir):
+    ym = month_summary(spark, sf_dir)
+    return ym.groupBy("ID", "YEAR", "MONTH").agg(F.min("PERIOD_START").alias("PERIOD_START"))
+
+
+@register("agg_wide_by_ordinal_day")
+def q_agg_wide_by_ordinal_day(spark, sf_dir):
+    return wd.agg_wide_by_ordinal_day(tv.t_wide(spark, sf_dir), decimals=2)
+
+
+@register("agg_wide_by_month")
+def q_agg_wide_by_month(spark, sf_dir):
+    return wd.agg_wide_by_month(tv.t_wide(spark, sf_dir), decimals=2)
+
+
+@register("agg_axis_bounds")
+def q_agg_axis_bounds(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    parts = [
+        ("daily", ch.chart_daily_series(clim.daily_output(o))),
+        ("monthly", ch.chart_monthly_series(clim.monthly_output(o))),
+        ("history", ch.chart_history_series(clim.history_output(o))),
+    ]
+    out = None
+    for name, series in parts:
+        b = ch.agg_axis_bounds(series).withColumn("CHART", F.lit(name))
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+# --------------------------------------------------------------------------- 2.5 joins / set operations
+
+@register("union_distinct_keys")
+def q_union_distinct_keys(spark, sf_dir):
+    dc = clim.daily_climatology_long(day_summary(spark, sf_dir))
+    keys = None
+    for e in ELEMENTS:
+        k = dc.where(F.col("ELEMENT") == e).select("ID", "MONTH", "DAY_OF_MONTH")
+        keys = k if keys is None else keys.union(k)
+    return keys.distinct()
+
+
+def _combined(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return df.groupBy(*keys).agg(*clim._climatology_values())
+
+
+@register("join_elements_daily")
+def q_join_elements_daily(spark, sf_dir):
+    return _round_doubles(_combined(day_summary(spark, sf_dir), ("ID", "MONTH", "DAY_OF_MONTH")))
+
+
+@register("join_elements_monthly")
+def q_join_elements_monthly(spark, sf_dir):
+    return _round_doubles(_combined(month_summary(spark, sf_dir), ("ID", "MONTH")))
+
+
+@register("join_elements_history")
+def q_join_elements_history(spark, sf_dir):
+    return clim.assemble_history(month_summary(spark, sf_dir)).drop("PERIOD_START")
+
+
 @register("assemble_daily")
 def q_assemble_daily(spark, sf_dir):
-    return clim.daily_output(tv.t_obs(spark, sf_dir))
+    return clim.daily_output(obs(spark, sf_dir))
 
 
 @register("assemble_monthly")
 def q_assemble_monthly(spark, sf_dir):
-    return clim.monthly_output(tv.t_obs(spark, sf_dir))
+    return clim.monthly_output(obs(spark, sf_dir))
 
 
 @register("assemble_history")
 def q_assemble_history(spark, sf_dir):
-    return clim.history_output(tv.t_obs(spark, sf_dir))
+    return clim.history_output(obs(spark, sf_dir))
+
+
+@register("assemble_all_stations")
+def q_assemble_all_stations(spark, sf_dir):
+    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir), checkpoint=False)
+    d = out.daily_summary.withColumn("monthly_history_rows", F.lit(None).cast("long"))
+    return d.withColumn("PERIOD", F.lit("daily")).unionByName(out.monthly_summary.withColumn("PERIOD", F.lit("monthly")))
+
+
+@register("flag_missing")
+def q_flag_missing(spark, sf_dir):
+    return flagged_stations(spark, sf_dir)
+
+
+@register("geojson_features")
+def q_geojson_features(spark, sf_dir):
+    return st.parse_features(st.geojson_features(flagged_stations(spark, sf_dir)))
+
+
+@register("compare_stations")
+def q_compare_stations(spark, sf_dir):
+    return ch.compare_stations(clim.monthly_output(obs(spark, sf_dir)), COMPARE_IDS)
+
+
+# --------------------------------------------------------------------------- 2.6 windows / sorts
+
+@register("day_index")
+def q_day_index(spark, sf_dir):
+    return clim.daily_output(obs(spark, sf_dir)).select("ID", "MONTH", "DAY_OF_MONTH", "DAY")
+
+
+@register("gap_flag_monthly")
+def q_gap_flag_monthly(spark, sf_dir):
+    return ch.chart_monthly_series(clim.monthly_output(obs(spark, sf_dir))).select("ID", "X", "GAP")
+
+
+@register("gap_flag_history")
+def q_gap_flag_history(spark, sf_dir):
+    return ch.chart_history_series(clim.history_output(obs(spark, sf_dir))).select("ID", "X", "GAP")
+
+
+@register("sort_obs")
+def q_sort_obs(spark, sf_dir):
+    return obs(spark, sf_dir).repartitionByRange("ID", "DATE").sortWithinPartitions("ID", "DATE")
+
+
+@register("sort_outputs")
+def q_sort_outputs(spark, sf_dir):
+    return clim.history_output(obs(spark, sf_dir)).orderBy("ID", "YEAR", "MONTH")
+
+
+# --------------------------------------------------------------------------- 2.7 chart tables
+
+@register("chart_valid_rows")
+def q_chart_valid_rows(spark, sf_dir):
+    return ch.chart_valid_rows(clim.daily_output(obs(spark, sf_dir)))
+
+
+@register("chart_daily_series")
+def q_chart_daily_series(spark, sf_dir):
+    return ch.chart_daily_series(clim.daily_output(obs(spark, sf_dir)))
+
+
+@register("chart_monthly_series")
+def q_chart_monthly_series(spark, sf_dir):
+    return ch.chart_monthly_series(clim.monthly_output(obs(spark, sf_dir)))
+
+
+@register("chart_history_series")
+def q_chart_history_series(spark, sf_dir):
+    return ch.chart_history_series(clim.history_output(obs(spark, sf_dir)))
+
+
+@register("chart_variant")
+def q_chart_variant(spark, sf_dir):
+    return ch.chart_daily_series(clim.daily_output(obs(spark, sf_dir)), variant="percentile")
+
+
+@register("chart_date_label")
+def q_chart_date_label(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    d = ch.chart_daily_series(clim.daily_output(o), language="ja").select("ID", "X", "LABEL")
+    h = ch.chart_history_series(clim.history_output(o), language="zh").select("ID", "X", "LABEL")
+    return d.withColumn("CHART", F.lit("daily")).unionByName(h.withColumn("CHART", F.lit("history")))
+
+
+@register("month_ticks")
+def q_month_ticks(spark, sf_dir):
+    return ch.month_ticks(wd.agg_wide_by_ordinal_day(tv.t_wide(spark, sf_dir)))
+
+
+__all__ = ["QUERIES", "register", "DAILY_COLUMNS", "MONTHLY_COLUMNS", "HISTORY_COLUMNS"]

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +44,28 @@ class StationOutputs:
     daily_summary: DataFrame
     monthly_summary: DataFrame
     stations: DataFrame  # matched stations with MISSING
+    histogram: DataFrame  # ID-partitioned day histogram all outputs derive from
 
 
 def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
-                    prefixes: Sequence[str] = STATION_PREFIXES, checkpoint: bool = True) -> StationOutputs:
-    """All outputs of all matched stations from one scan of ``obs``."""
+                    prefixes: Sequence[str] = STATION_PREFIXES, checkpoint: bool = False,
+                    persist: bool = False) -> StationOutputs:
+    """All outputs of all matched stations from one scan of ``obs``.
+
+    Every output hangs off the same ID-partitioned day histogram.  With
+    ``persist=True`` that histogram is cached (memory, spilling to disk) so all
+    outputs share one scan, one partial-aggregate shuffle and one ID shuffle;
+    a lost cached block is recomputed from its lineage.  ``checkpoint=True``
+    writes it to the shared checkpoint folder instead (lineage cut).
+    """
     matched = st.filter_station_prefix(stations, prefixes)
     obs_m = st.filter_station(st.filter_station_prefix(obs, prefixes), matched)
     day_hist = clim.day_histogram(obs_m, cutoff)
     if checkpoint:
         ensure_checkpoint_dir(obs.sparkSession)
         day_hist = day_hist.checkpoint(eager=True)
+    elif persist:
+        day_hist = day_hist.persist(StorageLevel.MEMORY_AND_DISK)
 
     daily = clim.assemble_daily(clim.year_day_summary(day_hist))
     ym = clim.year_month_summary(clim.month_histogram_from_days(day_hist))
@@ -75,23 +87,39 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
         "ID", *[f"{e}_raw_count" for e in ELEMENTS], "monthly_history_rows"
     )
     flagged = st.flag_missing(matched, daily, monthly)
-    return StationOutputs(daily, monthly, history, daily_summary, monthly_summary, flagged)
+    return StationOutputs(daily, monthly, history, daily_summary, monthly_summary, flagged, day_hist)
 
 
 def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str, out_root: str,
                      cutoff=DEFAULT_CUTOFF, prefixes: Sequence[str] = STATION_PREFIXES,
                      mode: str = "overwrite") -> StationOutputs:
-    """Write daily / monthly / history CSVs, summaries and the GeoJSON layer."""
+    """Write daily / monthly / history CSVs, summaries and the GeoJSON layer.
+
+    Layout: ``out_root/KIND=<daily|monthly|monthly-history|daily-stats|
+    monthly-stats>/PFX=<prefix>/ID=<station>/part-*`` plus
+    ``out_root/matched_stations.geojson/``.  All per-station files are written
+    by one job from the checkpointed histogram.
+    """
     obs = scan_obs_merged(spark, merged_root)
     stations = scan_stations_fixed_width(spark, stations_path)
-    out = station_outputs(obs, stations, cutoff, prefixes)
+    out = station_outputs(obs, stations, cutoff, prefixes, persist=True)
     root = out_root.rstrip("/")
-    writers.write_station_csv(out.daily, f"{root}/daily", "daily", mode)
-    writers.write_station_csv(out.monthly, f"{root}/monthly", "monthly", mode)
-    writers.write_station_csv(out.history, f"{root}/monthly-history", "history", mode)
-    writers.write_summary_json(out.daily_summary, f"{root}/daily-stats", mode)
-    writers.write_summary_json(out.monthly_summary, f"{root}/monthly-stats", mode)
-    writers.write_geojson(st.geojson_features(out.stations), f"{root}/matched_stations.geojson", mode)
+    lines = (
+        writers.csv_lines(out.daily, "daily")
+        .unionByName(writers.csv_lines(out.monthly, "monthly"))
+        .unionByName(writers.csv_lines(out.history, "history", "monthly-history"))
+        .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
+        .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
+    )
+    writers.write_lines(lines, root, mode)
+    out.histogram.unpersist()
+    # MISSING from what was written (a summary exists exactly where its output has rows).
+    written = ("daily-stats", "monthly-stats")
+    flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), *[
+        spark.read.option("basePath", f"{root}/KIND={k}").text(f"{root}/KIND={k}").select("ID") for k in written
+    ])
+    writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
+    out.stations = flagged
     return out
 
 

@@ -11,7 +11,7 @@ replaces the station directories present in the new data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fmt2, path_prefix
@@ -123,3 +123,57 @@ def read_geojson_features(spark, root: str) -> DataFrame:
     lines = spark.read.text(root)
     feats = lines.where(F.col("value").startswith('{"type":"Feature"') | F.col("value").startswith(',{"type":"Feature"'))
     return feats.select(F.regexp_replace("value", "^,", "").alias("FEATURE"))
+
+
+# --------------------------------------------------------------------------- one-pass writer
+
+def _int(c: str) -> F.Column:
+    return F.col(c).cast("long")
+
+
+# Row order within a station file, from the (text) CSV columns.
+_ORDER_KEY = {
+    "daily": lambda: _int("MONTH") * 100 + _int("DAY_OF_MONTH"),
+    "monthly": lambda: _int("MONTH"),
+    "history": lambda: _int("YEAR") * 100 + _int("MONTH"),
+    "wide_daily": lambda: _int("DAY"),
+    "wide_monthly": lambda: _int("MONTH"),
+}
+
+
+def csv_lines(df: DataFrame, kind: str, label: str | None = None) -> DataFrame:
+    """(KIND, PFX, ID, _ORD, value): one text line per row, the header prepended to each station's first row.
+
+    Fields hold numbers and dates only, so no quoting is needed; null is an
+    empty field.  ``_ORD`` orders rows within a station file.  The header
+    travels inside the first row (found with a window per ID, which needs no
+    shuffle on ID-partitioned input) so it is written by the same task, into
+    the same file, as the rows.
+    """
+    label = label or kind
+    text = csv_text_columns(df, kind)
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in COLUMNS[kind]]
+    body = text.select("ID", _ORDER_KEY[kind]().alias("_ORD"), F.concat_ws(",", *fields).alias("value"))
+    first = F.min("_ORD").over(Window.partitionBy("ID"))
+    header = F.lit(",".join(COLUMNS[kind]) + "\n")
+    value = F.when(F.col("_ORD") == first, F.concat(header, F.col("value"))).otherwise(F.col("value"))
+    return body.select(F.lit(label).alias("KIND"), path_prefix("ID").alias("PFX"), "ID", "_ORD", value.alias("value"))
+
+
+def json_lines(df: DataFrame, label: str) -> DataFrame:
+    """(KIND, PFX, ID, _ORD, value) with one JSON object per row (null fields omitted)."""
+    payload = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "ID"]))
+    return df.select(
+        F.lit(label).alias("KIND"), path_prefix("ID").alias("PFX"), "ID", F.lit(0).cast("long").alias("_ORD"),
+        payload.alias("value"),
+    )
+
+
+def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: bool = True) -> None:
+    """Write ``csv_lines`` / ``json_lines`` (unioned) as ``root/KIND=/PFX=/ID=/part-*``.
+
+    One job writes every kind; within a station file the header comes first
+    and rows follow in ``_ORD`` order.
+    """
+    ordered = lines.sortWithinPartitions("KIND", "PFX", "ID", "_ORD")
+    _writer(ordered.select("KIND", "PFX", "ID", "value"), mode, dynamic).partitionBy("KIND", "PFX", "ID").text(root)

@@ -20,7 +20,7 @@ def parse_yyyymmdd(c: str | Column, strict: bool = True) -> Column:
     """``yyyymmdd`` text to date; strict parsing fails the job on bad text (ANSI)."""
     if strict:
         return F.to_date(col(c), "yyyyMMdd")
-    return F.try_to_date(col(c), F.lit("yyyyMMdd"))
+    return F.try_to_date(col(c), "yyyyMMdd")
 
 
 def year_of(c: str | Column) -> Column:

@@ -25,7 +25,7 @@ def filter_station(df: DataFrame, stations, id_col: str = "ID") -> DataFrame:
     while the ID side is estimated under the broadcast threshold.
     """
     if isinstance(stations, DataFrame):
-        ids = stations.select(F.col(id_col).alias("_SID")).distinct()
+        ids = stations.select(F.col(id_col).alias("_SID"))  # a semi join needs no distinct
         return df.join(ids, df[id_col] == ids["_SID"], "left_semi")
     if isinstance(stations, str):
         return df.where(F.col(id_col) == stations)

@@ -1,0 +1,61 @@
+"""Incremental merge: raw station files -> merged observation table.
+
+The same transformation as ``plans.jobs.merge_job`` (declared 3-column
+schema, strict date parsing, one dataset partitioned by ELEMENT), run as a
+Structured Streaming query over the raw ``STATION=*/ELEMENT=*`` layout:
+
+* the file source remembers which files it has processed (checkpoint), so a
+  re-run after new station files were synced only reads the new ones;
+* the parquet file sink commits each micro-batch atomically through its
+  ``_spark_metadata`` log (exactly once, also across executor or driver loss);
+  batch readers of the merged root see committed files only.
+
+Files written by the stream are not globally sorted by (ID, DATE); running
+``merge_job`` over the raw layout rebuilds the fully clustered table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..schema import ELEMENTS, RAW_OBS_SCHEMA
+from ..session import scratch_path
+from ..sources.observations import parse_obs_dates
+
+
+def start_merge_stream(spark: SparkSession, raw_root: str, merged_root: str,
+                       checkpoint_location: str | None = None, elements: Sequence[str] = ELEMENTS,
+                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       processing_time: str = "1 minute") -> StreamingQuery:
+    """Start the incremental merge; ``available_now`` processes what exists and stops."""
+    schema = T.StructType(
+        RAW_OBS_SCHEMA.fields + [T.StructField("STATION", T.StringType()), T.StructField("ELEMENT", T.StringType())]
+    )
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    raw = reader.parquet(raw_root).where(F.col("ELEMENT").isin(*elements))
+    obs = parse_obs_dates(raw).select("ID", "DATE", "DATA_VALUE", "ELEMENT")
+    writer = (
+        obs.writeStream.format("parquet")
+        .partitionBy("ELEMENT")
+        .option("path", merged_root)
+        .option("checkpointLocation", checkpoint_location or scratch_path(spark, "merge-stream"))
+        .outputMode("append")
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def run_merge_stream(spark: SparkSession, raw_root: str, merged_root: str,
+                     checkpoint_location: str | None = None, **kw) -> None:
+    """Process every raw file not yet merged, then return."""
+    q = start_merge_stream(spark, raw_root, merged_root, checkpoint_location, available_now=True, **kw)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import path_prefix, starts_with_any
+from ..plans.sizing import MAX_BROADCAST_ROWS, broadcast_if_small
 from ..schema import STATION_PREFIXES
 
 PROPERTY_COLUMNS = ("ID", "NAME", "STATE", "ELEVATION", "GSN_FLAG", "HCN_CRN_FLAG", "WMO_ID", "MISSING")
@@ -18,14 +19,17 @@ def filter_station_prefix(df: DataFrame, prefixes: Sequence[str] = STATION_PREFI
     return df.where(starts_with_any(id_col, prefixes))
 
 
-def filter_station(df: DataFrame, stations, id_col: str = "ID") -> DataFrame:
+def filter_station(df: DataFrame, stations, id_col: str = "ID",
+                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Keep one station, a list of stations, or the IDs of a station DataFrame.
 
-    A DataFrame of IDs becomes a LEFT SEMI join that Catalyst broadcasts only
-    while the ID side is estimated under the broadcast threshold.
+    A DataFrame of IDs becomes a LEFT SEMI join.  The ID side is broadcast
+    only after its row count is checked against ``MAX_BROADCAST_ROWS``;
+    beyond that bound Spark plans a shuffle join instead.
     """
     if isinstance(stations, DataFrame):
         ids = stations.select(F.col(id_col).alias("_SID"))  # a semi join needs no distinct
+        ids, _ = broadcast_if_small(ids, max_broadcast_rows)
         return df.join(ids, df[id_col] == ids["_SID"], "left_semi")
     if isinstance(stations, str):
         return df.where(F.col(id_col) == stations)

@@ -53,3 +53,19 @@ def test_month_roll_up_needs_no_extra_shuffle(spark, merged):
     h = clim.day_histogram(scan_obs_merged(spark, merged))
     df = clim.assemble_history(clim.year_month_summary(clim.month_histogram_from_days(h)))
     assert pi.count_exchanges(df) == 2
+
+
+def test_station_semi_join_broadcast_is_size_checked(spark, merged):
+    from stationclim.operators import stations as st
+    from stationclim.plans import sizing
+
+    ids = spark.createDataFrame([("CHM00000000",), ("JA000000001",)], "ID string")
+    small = st.filter_station(scan_obs_merged(spark, merged), ids)
+    assert "BroadcastHashJoin" in pi.physical_plan(small)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = st.filter_station(scan_obs_merged(spark, merged), ids, max_broadcast_rows=1)
+        assert "BroadcastHashJoin" not in pi.physical_plan(big)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizing.broadcast_if_small(ids, max_rows=1)[1] is False

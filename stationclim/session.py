@@ -44,13 +44,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder named by the session.
+
+    A local temporary folder is created only in local mode (tests, a
+    laptop) when nothing is configured; on a cluster a missing
+    ``spark.checkpoint.dir`` is an error, since a machine-local folder is
+    not visible to other executors.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this job")
         configured = tempfile.mkdtemp(prefix="stationclim-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -12,10 +12,23 @@ def physical_plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _nodes(df: DataFrame):
+    """Physical operators of ``df`` (a cached relation's plan is not descended into)."""
+    root = df._jdf.queryExecution().executedPlan()
+    if root.nodeName() == "AdaptiveSparkPlan":
+        root = root.executedPlan()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        it = node.children().iterator()
+        while it.hasNext():
+            stack.append(it.next())
+
+
 def count_exchanges(df: DataFrame) -> int:
-    """Shuffle exchanges (not broadcasts) in the physical plan."""
-    return len(re.findall(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)",
-                          physical_plan(df)))
+    """Shuffle exchanges (not broadcasts) of ``df``'s own plan."""
+    return sum(1 for n in _nodes(df) if n.nodeName() == "Exchange")
 
 
 def uses_object_aggregate(df: DataFrame) -> bool:
@@ -23,15 +36,24 @@ def uses_object_aggregate(df: DataFrame) -> bool:
     return "ObjectHashAggregate" in physical_plan(df)
 
 
+_SCAN_KEYS = ("DataFilters", "Format", "Location", "PartitionFilters", "PushedFilters", "ReadSchema")
+
+
 def scan_nodes(df: DataFrame) -> list[dict[str, str]]:
-    """Attributes of each file scan (PushedFilters, PartitionFilters, ReadSchema)."""
+    """Attributes of each file scan (PushedFilters, PartitionFilters, ReadSchema, DataFilters).
+
+    Long values are truncated by Spark with ``...``; each value runs up to
+    the next attribute name.
+    """
     out = []
     for line in physical_plan(df).splitlines():
         if "FileScan" not in line:
             continue
-        node = {}
-        for key in ("PushedFilters", "PartitionFilters", "ReadSchema", "DataFilters"):
-            m = re.search(key + r": (\[.*?\]|struct<[^ ]*)", line)
-            node[key] = m.group(1) if m else ""
+        marks = sorted((m.start(), m.group(1)) for m in re.finditer(r"(?:, |\] )(" + "|".join(_SCAN_KEYS) + r"): ", line))
+        node = {k: "" for k in _SCAN_KEYS}
+        for i, (pos, key) in enumerate(marks):
+            begin = line.index(": ", pos) + 2
+            end = marks[i + 1][0] if i + 1 < len(marks) else len(line)
+            node[key] = line[begin:end]
         out.append(node)
     return out

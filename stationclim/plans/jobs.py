@@ -66,6 +66,9 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
         day_hist = day_hist.checkpoint(eager=True)
     elif persist:
         day_hist = day_hist.persist(StorageLevel.MEMORY_AND_DISK)
+        # Materialise now: an unfilled cache reports unknown partitioning, and
+        # plans built on it would shuffle the histogram again.
+        day_hist.count()
 
     daily = clim.assemble_daily(clim.year_day_summary(day_hist))
     ym = clim.year_month_summary(clim.month_histogram_from_days(day_hist))

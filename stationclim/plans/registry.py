@@ -21,7 +21,7 @@ from ..operators import climatology as clim
 from ..operators import stations as st
 from ..operators import wide as wd
 from ..plans import jobs
-from ..schema import DAILY_COLUMNS, ELEMENTS, HISTORY_COLUMNS, MONTHLY_COLUMNS, STATS
+from ..schema import ELEMENTS, STATS
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import testviews as tv
@@ -491,5 +491,3 @@ def q_chart_date_label(spark, sf_dir):
 def q_month_ticks(spark, sf_dir):
     return ch.month_ticks(wd.agg_wide_by_ordinal_day(tv.t_wide(spark, sf_dir)))
 
-
-__all__ = ["QUERIES", "register", "DAILY_COLUMNS", "MONTHLY_COLUMNS", "HISTORY_COLUMNS"]

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import fmt2, path_prefix
 from ..schema import DAILY_COLUMNS, ELEMENTS, HISTORY_COLUMNS, MONTHLY_COLUMNS, WIDE_DAILY_COLUMNS, WIDE_MONTHLY_COLUMNS
 
-_INT_COLUMNS = {"DAY", "MONTH", "DAY_OF_MONTH", "YEAR"}
 _SORT_KEYS = {
     "daily": ("MONTH", "DAY_OF_MONTH"),
     "monthly": ("MONTH",),

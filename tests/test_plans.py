@@ -69,3 +69,24 @@ def test_station_semi_join_broadcast_is_size_checked(spark, merged):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sizing.broadcast_if_small(ids, max_rows=1)[1] is False
+
+
+def test_all_station_outputs_shuffle_only_into_the_cache(spark, merged, tmp_path):
+    from stationclim.sinks import writers
+    from stationclim.sources.stations import scan_stations_fixed_width
+
+    tv.t_station_lines(spark, SF_SMALL).write.text(str(tmp_path / "st"))
+    out = jobs.station_outputs(scan_obs_merged(spark, merged), scan_stations_fixed_width(spark, str(tmp_path / "st")),
+                               persist=True)
+    try:
+        lines = (
+            writers.csv_lines(out.daily, "daily")
+            .unionByName(writers.csv_lines(out.monthly, "monthly"))
+            .unionByName(writers.csv_lines(out.history, "history"))
+            .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
+            .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
+        )
+        assert pi.count_exchanges(lines) == 0  # every output is computed inside the ID partitions
+        assert pi.count_exchanges(out.histogram) == 0 or "InMemory" in pi.physical_plan(out.histogram)
+    finally:
+        out.histogram.unpersist()

@@ -7,7 +7,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import obs_frame
 from stationclim.functions import exprs as X

@@ -107,6 +107,18 @@ def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str,
     stations = scan_stations_fixed_width(spark, stations_path)
     out = station_outputs(obs, stations, cutoff, prefixes, persist=True)
     root = out_root.rstrip("/")
+    write_station_outputs(out, root, mode)
+    # A summary exists exactly where the corresponding output has rows, so the
+    # per-station summaries (still served from the cached histogram) give MISSING.
+    flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), out.daily_summary, out.monthly_summary)
+    writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
+    out.histogram.unpersist()
+    out.stations = flagged
+    return out
+
+
+def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite") -> None:
+    """All per-station files of ``out`` in one partitioned text write."""
     lines = (
         writers.csv_lines(out.daily, "daily")
         .unionByName(writers.csv_lines(out.monthly, "monthly"))
@@ -114,13 +126,21 @@ def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str,
         .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
         .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
     )
-    writers.write_lines(lines, root, mode)
-    # A summary exists exactly where the corresponding output has rows, so the
-    # per-station summaries (still served from the cached histogram) give MISSING.
-    flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), out.daily_summary, out.monthly_summary)
-    writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
+    writers.write_lines(lines, root.rstrip("/"), mode)
+
+
+def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Sequence[str], out_root: str,
+                          cutoff=DEFAULT_CUTOFF, mode: str = "overwrite") -> StationOutputs:
+    """Outputs for the given stations only (the per-station runs of the original scripts).
+
+    The ID list becomes a pushed ``In`` / ``EqualTo`` parquet filter, so only the
+    row groups of those stations are read from the ID-sorted merged table.
+    """
+    obs = scan_obs_merged(spark, merged_root, stations=list(dict.fromkeys(station_ids)))
+    ids = spark.createDataFrame([(i,) for i in dict.fromkeys(station_ids)], "ID string")
+    out = station_outputs(obs, ids, cutoff, prefixes=("",), persist=True)
+    write_station_outputs(out, out_root, mode)
     out.histogram.unpersist()
-    out.stations = flagged
     return out
 
 

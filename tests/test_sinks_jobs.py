@@ -97,3 +97,14 @@ def test_wide_job(spark, tmp_path):
     jobs.wide_job(spark, str(tmp_path / "w"), str(tmp_path / "o"))
     files = glob.glob(str(tmp_path / "o" / "daily" / "PFX=*" / "ID=*" / "*.csv"))
     assert files and open(files[0]).readline().strip().startswith("DAY,TMIN_P10")
+
+
+def test_cli_station_run(spark, layout):
+    from stationclim.__main__ import main
+
+    out_root = str(layout["root"] / "one")
+    ids = [r.ID for r in tv.t_obs(spark, SF_SMALL).select("ID").distinct().orderBy("ID").limit(2).collect()]
+    assert main(["station", "--merged", layout["merged"], "--out", out_root, "--id", ids[0], "--id", ids[1]]) == 0
+    got = scan_output_csv(spark, f"{out_root}/KIND=monthly", "monthly")
+    exp = clim.monthly_output(tv.t_obs(spark, SF_SMALL)).where(F.col("ID").isin(*ids))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0

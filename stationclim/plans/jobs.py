@@ -146,7 +146,9 @@ def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Se
 
 def wide_job(spark: SparkSession, wide_root: str, out_root: str, cutoff=DEFAULT_CUTOFF,
              mode: str = "overwrite") -> None:
+    """``out_root/KIND=<daily|monthly>/PFX=/ID=/part-*``: one CSV per station and kind, one job."""
     wide = scan_wide_station_file(spark, wide_root)
-    root = out_root.rstrip("/")
-    writers.write_station_csv(wd.agg_wide_by_ordinal_day(wide, cutoff, 2), f"{root}/daily", "wide_daily", mode)
-    writers.write_station_csv(wd.agg_wide_by_month(wide, cutoff, 2), f"{root}/monthly", "wide_monthly", mode)
+    lines = writers.csv_lines(wd.agg_wide_by_ordinal_day(wide, cutoff, 2), "wide_daily", "daily").unionByName(
+        writers.csv_lines(wd.agg_wide_by_month(wide, cutoff, 2), "wide_monthly", "monthly")
+    )
+    writers.write_lines(lines, out_root.rstrip("/"), mode)

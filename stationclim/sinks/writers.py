@@ -17,13 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import fmt2, path_prefix
 from ..schema import DAILY_COLUMNS, ELEMENTS, HISTORY_COLUMNS, MONTHLY_COLUMNS, WIDE_DAILY_COLUMNS, WIDE_MONTHLY_COLUMNS
 
-_SORT_KEYS = {
-    "daily": ("MONTH", "DAY_OF_MONTH"),
-    "monthly": ("MONTH",),
-    "history": ("YEAR", "MONTH"),
-    "wide_daily": ("DAY",),
-    "wide_monthly": ("MONTH",),
-}
 COLUMNS = {
     "daily": DAILY_COLUMNS,
     "monthly": MONTHLY_COLUMNS,
@@ -68,14 +61,13 @@ def write_merged_parquet(obs: DataFrame, root: str, mode: str = "overwrite", par
 
 
 def write_station_csv(df: DataFrame, root: str, kind: str, mode: str = "overwrite", dynamic: bool = True) -> None:
-    """One CSV (with header) per station under ``root/PFX=<p>/ID=<id>/``.
+    """One CSV file (with header) per station under ``root/PFX=<p>/ID=<id>/``.
 
-    The data is expected to be partitioned by ``ID`` already (the assembled
-    outputs are); rows are sorted within each station in calendar order.
+    Goes through ``csv_lines``: its window per ID clusters each station into one
+    task (no shuffle when ``df`` is already ID-partitioned, as the assembled
+    outputs are), so every station gets exactly one file, header first.
     """
-    text = csv_text_columns(df, kind).withColumn("PFX", path_prefix("ID"))
-    text = text.sortWithinPartitions("PFX", "ID", *[F.col(k).cast("int") for k in _SORT_KEYS[kind]])
-    _writer(text, mode, dynamic).partitionBy("PFX", "ID").option("header", True).csv(root)
+    write_lines(csv_lines(df, kind), root, mode, dynamic, by_kind=False)
 
 
 def summary_frame(counts: DataFrame, history_rows: DataFrame | None = None) -> DataFrame:
@@ -168,11 +160,13 @@ def json_lines(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: bool = True) -> None:
+def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: bool = True,
+                by_kind: bool = True) -> None:
     """Write ``csv_lines`` / ``json_lines`` (unioned) as ``root/KIND=/PFX=/ID=/part-*``.
 
     One job writes every kind; within a station file the header comes first
-    and rows follow in ``_ORD`` order.
+    and rows follow in ``_ORD`` order.  ``by_kind=False`` drops the KIND level.
     """
-    ordered = lines.sortWithinPartitions("KIND", "PFX", "ID", "_ORD")
-    _writer(ordered.select("KIND", "PFX", "ID", "value"), mode, dynamic).partitionBy("KIND", "PFX", "ID").text(root)
+    parts = ["KIND", "PFX", "ID"] if by_kind else ["PFX", "ID"]
+    ordered = lines.sortWithinPartitions(*parts, "_ORD")
+    _writer(ordered.select(*parts, "value"), mode, dynamic).partitionBy(*parts).text(root)

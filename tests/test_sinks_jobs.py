@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from stationclim.operators import climatology as clim
 from stationclim.operators import stations as st
+from stationclim.operators import wide as wd
 from stationclim.plans import jobs
 from stationclim.sinks import writers
 from stationclim.sources import testviews as tv
@@ -44,8 +45,9 @@ def test_csv_round_trip(spark, tmp_path):
     writers.write_station_csv(out, str(tmp_path / "m"), "monthly")
     back = scan_output_csv(spark, str(tmp_path / "m"), "monthly")
     assert back.exceptAll(out).count() == 0 and out.exceptAll(back).count() == 0
-    files = glob.glob(str(tmp_path / "m" / "PFX=*" / "ID=*" / "*.csv"))
+    files = glob.glob(str(tmp_path / "m" / "PFX=*" / "ID=*" / "part-*"))
     assert files and all(open(f).readline().strip() == "MONTH,TMIN_P10,TMAX_P90,TMIN_MIN,TMAX_MAX,PRCP_SUM" for f in files)
+    assert len(files) == out.select("ID").distinct().count()  # one file per station
 
 
 def test_sink_mode_ignore_keeps_existing(spark, tmp_path):
@@ -95,8 +97,12 @@ def test_wide_job(spark, tmp_path):
     w = tv.t_wide(spark, SF_SMALL)
     w.write.partitionBy("STATION").parquet(str(tmp_path / "w"))
     jobs.wide_job(spark, str(tmp_path / "w"), str(tmp_path / "o"))
-    files = glob.glob(str(tmp_path / "o" / "daily" / "PFX=*" / "ID=*" / "*.csv"))
+    files = glob.glob(str(tmp_path / "o" / "KIND=daily" / "PFX=*" / "ID=*" / "part-*"))
     assert files and open(files[0]).readline().strip().startswith("DAY,TMIN_P10")
+    assert len(files) == w.select("STATION").distinct().count()  # one file per station
+    back = scan_output_csv(spark, str(tmp_path / "o" / "KIND=monthly"), "monthly")
+    exp = wd.agg_wide_by_month(w, decimals=2)
+    assert back.exceptAll(exp).count() == 0 and exp.exceptAll(back).count() == 0
 
 
 def test_cli_station_run(spark, layout):

@@ -1,13 +1,14 @@
 """End-to-end batch jobs.
 
-* ``merge_job``        raw hive layout -> merged, ID/DATE-sorted table per element
-* ``all_stations_job`` every matched station, daily + monthly + history + summaries + GeoJSON
-* ``wide_job``         legacy ordinal-day / month aggregation of wide files
-
-The all-stations job scans the observations once.  The ID-partitioned day
-histogram is checkpointed to the shared checkpoint folder (lineage cut;
-executor loss re-reads the checkpoint instead of recomputing the scan), and
-every output is derived from it without another shuffle of the raw rows.
+* ``merge_job``             raw hive layout -> merged, ID/DATE-sorted table per element
+* ``all_stations_job``      every matched station: daily, monthly, history, summaries, GeoJSON
+* ``selected_stations_job`` the same for a list of station IDs (pushed ID filter)
+* ``wide_job``              legacy ordinal-day / month aggregation of wide files
+
+The station jobs scan the observations once.  The ID-partitioned day
+histogram is persisted (memory, spilling to disk; a lost block is recomputed
+from lineage) or, with ``checkpoint=True``, written to the shared checkpoint
+folder; every output is derived from it without another shuffle.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str,
     Layout: ``out_root/KIND=<daily|monthly|monthly-history|daily-stats|
     monthly-stats>/PFX=<prefix>/ID=<station>/part-*`` plus
     ``out_root/matched_stations.geojson/``.  All per-station files are written
-    by one job from the checkpointed histogram.
+    by one job from the persisted histogram.
     """
     obs = scan_obs_merged(spark, merged_root)
     stations = scan_stations_fixed_width(spark, stations_path)

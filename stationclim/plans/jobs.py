@@ -7,7 +7,7 @@
 
 The station jobs scan the observations once.  The ID-partitioned day
 histogram is persisted (memory, spilling to disk; a lost block is recomputed
-from lineage) or, with ``checkpoint=True``, written to the shared checkpoint
+from lineage) or, with ``materialize="table"``, written bucketed by ID to the shared checkpoint
 folder; every output is derived from it without another shuffle.
 """
 
@@ -24,6 +24,7 @@ from ..operators import climatology as clim
 from ..operators import stations as st
 from ..operators import wide as wd
 from ..schema import DEFAULT_CUTOFF, ELEMENTS, STATION_PREFIXES
+from ..plans.sizing import write_bucketed_table
 from ..session import ensure_checkpoint_dir
 from ..sinks import writers
 from ..sources.observations import parse_obs_dates, scan_obs_merged, scan_obs_partitioned
@@ -49,27 +50,36 @@ class StationOutputs:
 
 
 def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
-                    prefixes: Sequence[str] = STATION_PREFIXES, checkpoint: bool = False,
+                    prefixes: Sequence[str] = STATION_PREFIXES, materialize: str | None = None,
                     persist: bool = False) -> StationOutputs:
     """All outputs of all matched stations from one scan of ``obs``.
 
-    Every output hangs off the same ID-partitioned day histogram.  With
-    ``persist=True`` that histogram is cached (memory, spilling to disk) so all
-    outputs share one scan, one partial-aggregate shuffle and one ID shuffle;
-    a lost cached block is recomputed from its lineage.  ``checkpoint=True``
-    writes it to the shared checkpoint folder instead (lineage cut).
+    Every output hangs off the same ID-partitioned day histogram, which can be
+    materialised once so all outputs share one scan and two shuffles:
+
+    * ``"cache"`` (or ``persist=True``): cached in memory, spilling to disk; a
+      lost block is recomputed from its lineage;
+    * ``"table"``: written as a table bucketed by ID under the shared
+      checkpoint folder -- lineage cut, survives executor loss without
+      recomputation, and the bucketed scan keeps the ID partitioning.
+
+    Without materialisation each output recomputes the histogram.
     """
+    if persist and materialize is None:
+        materialize = "cache"
     matched = st.filter_station_prefix(stations, prefixes)
     obs_m = st.filter_station(st.filter_station_prefix(obs, prefixes), matched)
     day_hist = clim.day_histogram(obs_m, cutoff)
-    if checkpoint:
+    if materialize == "table":
         ensure_checkpoint_dir(obs.sparkSession)
-        day_hist = day_hist.checkpoint(eager=True)
-    elif persist:
+        day_hist = write_bucketed_table(day_hist, "day_histogram")
+    elif materialize == "cache":
         day_hist = day_hist.persist(StorageLevel.MEMORY_AND_DISK)
         # Materialise now: an unfilled cache reports unknown partitioning, and
         # plans built on it would shuffle the histogram again.
         day_hist.count()
+    elif materialize is not None:
+        raise ValueError(f"materialize must be None, 'cache' or 'table', not {materialize!r}")
 
     daily = clim.assemble_daily(clim.year_day_summary(day_hist))
     ym = clim.year_month_summary(clim.month_histogram_from_days(day_hist))
@@ -96,7 +106,7 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
 
 def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str, out_root: str,
                      cutoff=DEFAULT_CUTOFF, prefixes: Sequence[str] = STATION_PREFIXES,
-                     mode: str = "overwrite") -> StationOutputs:
+                     mode: str = "overwrite", materialize: str = "table") -> StationOutputs:
     """Write daily / monthly / history CSVs, summaries and the GeoJSON layer.
 
     Layout: ``out_root/KIND=<daily|monthly|monthly-history|daily-stats|
@@ -106,18 +116,31 @@ def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str,
     """
     obs = scan_obs_merged(spark, merged_root)
     stations = scan_stations_fixed_width(spark, stations_path)
-    out = station_outputs(obs, stations, cutoff, prefixes, persist=True)
+    out = station_outputs(obs, stations, cutoff, prefixes, materialize=materialize)
     root = out_root.rstrip("/")
     write_station_outputs(out, root, mode)
     # A summary exists exactly where the corresponding output has rows, so the
     # per-station summaries (still served from the cached histogram) give MISSING.
     flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), out.daily_summary, out.monthly_summary)
     writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
-    out.histogram.unpersist()
+    release(out)
     out.stations = flagged
     return out
 
 
+def release(out: StationOutputs) -> None:
+    """Drop the materialised histogram: unpersist a cache, forget a bucketed table.
+
+    Table files stay in the checkpoint folder, like checkpoint files.
+    """
+    h = out.histogram
+    if h.storageLevel.useMemory or h.storageLevel.useDisk:
+        h.unpersist()
+    name = getattr(h, "_stationclim_table", None)
+    if name:
+        h.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite") -> None:
     """All per-station files of ``out`` in one partitioned text write."""
     lines = (
@@ -131,7 +154,7 @@ def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite
 
 
 def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Sequence[str], out_root: str,
-                          cutoff=DEFAULT_CUTOFF, mode: str = "overwrite") -> StationOutputs:
+                          cutoff=DEFAULT_CUTOFF, mode: str = "overwrite", materialize: str = "table") -> StationOutputs:
     """Outputs for the given stations only (the per-station runs of the original scripts).
 
     The ID list becomes a pushed ``In`` / ``EqualTo`` parquet filter, so only the
@@ -139,9 +162,9 @@ def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Se
     """
     obs = scan_obs_merged(spark, merged_root, stations=list(dict.fromkeys(station_ids)))
     ids = spark.createDataFrame([(i,) for i in dict.fromkeys(station_ids)], "ID string")
-    out = station_outputs(obs, ids, cutoff, prefixes=("",), persist=True)
+    out = station_outputs(obs, ids, cutoff, prefixes=("",), materialize=materialize)
     write_station_outputs(out, out_root, mode)
-    out.histogram.unpersist()
+    release(out)
     return out
 
 

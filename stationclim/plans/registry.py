@@ -165,7 +165,7 @@ SUMMARY_SCHEMA = "TMIN_raw_count bigint, TMAX_raw_count bigint, PRCP_raw_count b
 
 @register("sink_summary_json")
 def q_sink_summary_json(spark, sf_dir):
-    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir), checkpoint=False)
+    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir))
     frames = []
     for period, df in (("daily", out.daily_summary), ("monthly", out.monthly_summary)):
         path = scratch_path(spark, f"{period}-stats")
@@ -405,7 +405,7 @@ def q_assemble_history(spark, sf_dir):
 
 @register("assemble_all_stations")
 def q_assemble_all_stations(spark, sf_dir):
-    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir), checkpoint=False)
+    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir))
     d = out.daily_summary.withColumn("monthly_history_rows", F.lit(None).cast("long"))
     return d.withColumn("PERIOD", F.lit("daily")).unionByName(out.monthly_summary.withColumn("PERIOD", F.lit("monthly")))
 

@@ -38,7 +38,28 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dic
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
     }
+
+
+def write_bucketed_table(df: DataFrame, name: str, key: str = "ID", buckets: int | None = None) -> DataFrame:
+    """Materialise ``df`` as a parquet table bucketed by ``key`` under the shared checkpoint folder.
+
+    Cuts the lineage (executor loss re-reads files instead of recomputing), and
+    the bucketed scan reports ``hashpartitioning(key)``, so later groupings and
+    windows keyed by ``key`` need no shuffle (an RDD checkpoint loses that).
+    """
+    import uuid
+
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"stationclim_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").bucketBy(n, key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    out._stationclim_table = table  # for release()
+    return out

@@ -90,3 +90,22 @@ def test_all_station_outputs_shuffle_only_into_the_cache(spark, merged, tmp_path
         assert pi.count_exchanges(out.histogram) == 0 or "InMemory" in pi.physical_plan(out.histogram)
     finally:
         out.histogram.unpersist()
+
+
+def test_bucketed_table_keeps_id_partitioning(spark, merged, tmp_path):
+    from stationclim.sources.stations import scan_stations_fixed_width
+
+    tv.t_station_lines(spark, SF_SMALL).write.text(str(tmp_path / "st"))
+    out = jobs.station_outputs(scan_obs_merged(spark, merged), scan_stations_fixed_width(spark, str(tmp_path / "st")),
+                               materialize="table")
+    for df in (out.daily, out.monthly, out.history, out.daily_summary):
+        assert pi.count_exchanges(df) == 0
+    exp = clim.daily_output(st_filter(spark, merged))
+    assert out.daily.exceptAll(exp).count() == 0 and exp.exceptAll(out.daily).count() == 0
+
+
+def st_filter(spark, merged):
+    from stationclim.operators import stations as st
+
+    o = scan_obs_merged(spark, merged)
+    return st.filter_station_prefix(o)

@@ -7,7 +7,9 @@ Runs on ``local[$BENCH_CPUS]`` (default 8) against ``$BENCH_SF_DIR``
 Each query is run once to warm up (JIT, file listing) and then timed;
 results are fully computed through the ``noop`` sink, so no rows are
 collected to the driver.  ``merge_job`` and ``all_stations_job`` time the
-production jobs end to end (raw layout -> merged table -> all outputs).
+production jobs end to end (raw layout -> merged table -> all outputs);
+``assemble_daily_hot_station`` reruns the daily query with a third of all
+observations relabelled to one station (skew check).
 """
 
 from __future__ import annotations
@@ -57,6 +59,20 @@ def main() -> None:
         run()
         times[name] = round(timed(run), 3)
 
+    # Skew: the same daily query with a third of all observations moved to one station.
+    from pyspark.sql import functions as F
+
+    from stationclim.operators import climatology as clim
+
+    def hot():
+        o = tv.t_obs(spark, sf_dir)
+        o = o.withColumn("ID", F.when(F.abs(F.hash("ID", "DATE", "DATA_VALUE")) % 3 == 0, F.lit("HOT00000000"))
+                         .otherwise(F.col("ID")))
+        clim.daily_output(o).write.format("noop").mode("overwrite").save()
+
+    hot()
+    times["assemble_daily_hot_station"] = round(timed(hot), 3)
+
     # Production jobs: raw hive layout -> merged table -> every output.
     raw = scratch_path(spark, "bench-raw")
     tv.t_raw(spark, sf_dir).write.partitionBy("STATION", "ELEMENT").parquet(raw)

@@ -114,3 +114,19 @@ def test_cli_station_run(spark, layout):
     got = scan_output_csv(spark, f"{out_root}/KIND=monthly", "monthly")
     exp = clim.monthly_output(tv.t_obs(spark, SF_SMALL)).where(F.col("ID").isin(*ids))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_cli_merge_stations_wide(spark, tmp_path):
+    from stationclim.__main__ import main
+
+    raw, merged, lines, out = (str(tmp_path / p) for p in ("raw", "merged", "st", "out"))
+    tv.t_raw(spark, SF_SMALL).write.partitionBy("STATION", "ELEMENT").parquet(raw)
+    tv.t_station_lines(spark, SF_SMALL).write.text(lines)
+    assert main(["merge", "--raw", raw, "--merged", merged]) == 0
+    assert main(["stations", "--merged", merged, "--stations", lines, "--out", out, "--prefixes", "CHM,JA"]) == 0
+    ids = {r.ID for r in scan_output_csv(spark, f"{out}/KIND=monthly", "monthly").select("ID").distinct().collect()}
+    assert ids and all(i.startswith(("CHM", "JA")) for i in ids)
+    wide, wout = str(tmp_path / "wide"), str(tmp_path / "wout")
+    tv.t_wide(spark, SF_SMALL).write.partitionBy("STATION").parquet(wide)
+    assert main(["wide", "--wide", wide, "--out", wout]) == 0
+    assert scan_output_csv(spark, f"{wout}/KIND=daily", "daily").count() > 0

@@ -206,6 +206,20 @@ def raw_counts_from_history(history: DataFrame) -> DataFrame:
     )
 
 
+def output_presence(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
+    """Per station: whether it gets a daily and a monthly output.
+
+    By construction a station has daily rows iff it has any observation
+    since ``cutoff`` (null values included) and monthly rows iff it has a
+    non-null one, so one partial aggregate answers both without building the
+    outputs.
+    """
+    return filter_from(obs, cutoff).groupBy("ID").agg(
+        (F.count(F.lit(1)) > 0).alias("HAS_DAILY"),
+        (F.count("DATA_VALUE") > 0).alias("HAS_MONTHLY"),
+    )
+
+
 def history_rows(history: DataFrame) -> DataFrame:
     return history.groupBy("ID").agg(F.count(F.lit(1)).alias("monthly_history_rows"))
 

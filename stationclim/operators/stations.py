@@ -53,6 +53,14 @@ def flag_missing(stations: DataFrame, daily: DataFrame, monthly: DataFrame) -> D
     return j.withColumn("MISSING", F.col("_HAS_D").isNull() | F.col("_HAS_M").isNull()).drop("_HAS_D", "_HAS_M")
 
 
+def flag_missing_from_presence(stations: DataFrame, presence: DataFrame) -> DataFrame:
+    """``flag_missing`` from ``climatology.output_presence`` (ID, HAS_DAILY, HAS_MONTHLY)."""
+    p = presence.select("ID", "HAS_DAILY", "HAS_MONTHLY")
+    j = stations.join(p, "ID", "left")
+    has_both = F.coalesce(F.col("HAS_DAILY"), F.lit(False)) & F.coalesce(F.col("HAS_MONTHLY"), F.lit(False))
+    return j.withColumn("MISSING", ~has_both).drop("HAS_DAILY", "HAS_MONTHLY")
+
+
 def feature_struct() -> F.Column:
     return F.struct(
         F.lit("Feature").alias("type"),

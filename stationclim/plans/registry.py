@@ -64,7 +64,7 @@ def matched_stations(spark, sf_dir) -> DataFrame:
 def flagged_stations(spark, sf_dir) -> DataFrame:
     """Matched stations with MISSING, observations of IDs ending in 7 removed."""
     o = obs(spark, sf_dir).where(~F.col("ID").endswith("7"))
-    return st.flag_missing(matched_stations(spark, sf_dir), clim.daily_output(o), clim.monthly_output(o))
+    return st.flag_missing_from_presence(matched_stations(spark, sf_dir), clim.output_presence(o))
 
 
 def day_summary(spark, sf_dir) -> DataFrame:

@@ -43,3 +43,14 @@ def test_month_roll_up_equals_direct_month_histogram(obs):
     a = clim.year_month_summary(clim.month_histogram_from_days(clim.day_histogram(obs)))
     b = clim.year_month_summary(clim.month_histogram(obs))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_presence_flag_equals_output_flag(spark, obs):
+    from stationclim.operators import stations as st
+
+    o = obs.where(~F.col("ID").endswith("7"))
+    ids = obs.select("ID").distinct().union(spark.createDataFrame([("NOPE0000000",)], "ID string"))
+    a = st.flag_missing(ids, clim.daily_output(o), clim.monthly_output(o))
+    b = st.flag_missing_from_presence(ids, clim.output_presence(o))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert b.where("ID = 'NOPE0000000'").first().MISSING

@@ -46,14 +46,16 @@ def element_of(flag: str | Column) -> Column:
 def t_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs(ID, ELEMENT, DATE, DATA_VALUE) from lineitem x supplier.
 
-    The join is planned by Catalyst: ``supplier`` is broadcast only while its
-    estimated size is under ``spark.sql.autoBroadcastJoinThreshold``, and
-    sort-merge joined beyond that.
+    ``supplier`` (two integer columns) is broadcast only after its row count
+    is checked against ``MAX_BROADCAST_ROWS``; beyond that bound Spark plans
+    a shuffle join.
     """
+    from ..plans.sizing import broadcast_if_small
+
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", "l_linenumber"
     )
-    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    su, _ = broadcast_if_small(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
     j = li.join(su, li.l_suppkey == su.s_suppkey)
     return j.select(
         station_id("s_nationkey").alias("ID"),

@@ -189,6 +189,46 @@ def assemble_history(ym: DataFrame) -> DataFrame:
     return combined.select("ID", *HISTORY_COLUMNS)
 
 
+def month_level_raw(ym: DataFrame) -> DataFrame:
+    """Per (ID, YEAR, MONTH): every element's P10/P90/MIN/MAX/SUM in stored integer units, and counts.
+
+    The common input of the history (a projection of it) and of the monthly
+    climatology (an average over years of it); a missing element is null.
+    """
+    aggs = []
+    for e in ELEMENTS:
+        aggs += [F.max(_of(e, s)).alias(f"{e}_{s}") for s in STATS]
+    aggs += [F.sum(_of(e, "COUNT")).alias(f"{e}_ENTRY_COUNT") for e in ELEMENTS]
+    return ym.groupBy("ID", "YEAR", "MONTH").agg(*aggs)
+
+
+def history_values(raw: DataFrame | None = None) -> dict[str, F.Column]:
+    """History columns (as in ``assemble_history``) as expressions over ``month_level_raw``."""
+    out = {"PERIOD_START": period_start("YEAR", "MONTH"), "YEAR": F.col("YEAR"), "MONTH": F.col("MONTH")}
+    for e in ELEMENTS:
+        for s in STATS:
+            c = f"{e}_{s}"
+            if e in TENTHS_ELEMENTS or s in ("P10", "P90"):
+                out[c] = round2(F.col(c) / _div(e))
+            else:
+                out[c] = F.col(c)
+    for e in ELEMENTS:
+        out[f"{e}_ENTRY_COUNT"] = F.col(f"{e}_ENTRY_COUNT")
+    return out
+
+
+def monthly_values_over(w) -> dict[str, F.Column]:
+    """Monthly climatology columns as window aggregates over ``month_level_raw`` rows of one (ID, MONTH)."""
+    return {
+        "MONTH": F.col("MONTH"),
+        "TMIN_P10": round2(F.avg("TMIN_P10").over(w) / _div("TMIN")),
+        "TMAX_P90": round2(F.avg("TMAX_P90").over(w) / _div("TMAX")),
+        "TMIN_MIN": round2(F.min("TMIN_MIN").over(w) / _div("TMIN")),
+        "TMAX_MAX": round2(F.max("TMAX_MAX").over(w) / _div("TMAX")),
+        "PRCP_SUM": round2(F.avg("PRCP_SUM").over(w) / _div("PRCP")),
+    }
+
+
 # --------------------------------------------------------------------------- counts
 
 def raw_counts(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
@@ -220,6 +260,12 @@ def output_presence(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
     )
 
 
+def history_rows_from_histogram(day_hist: DataFrame) -> DataFrame:
+    """``history_rows`` without building the history: distinct (YEAR, MONTH) with a non-null value."""
+    months = day_hist.where(F.col("DATA_VALUE").isNotNull()).select("ID", "YEAR", "MONTH").distinct()
+    return months.groupBy("ID").agg(F.count(F.lit(1)).alias("monthly_history_rows"))
+
+
 def history_rows(history: DataFrame) -> DataFrame:
     return history.groupBy("ID").agg(F.count(F.lit(1)).alias("monthly_history_rows"))
 

@@ -47,6 +47,7 @@ class StationOutputs:
     monthly_summary: DataFrame
     stations: DataFrame  # matched stations with MISSING
     histogram: DataFrame  # ID-partitioned day histogram all outputs derive from
+    month_raw: DataFrame  # per (ID, YEAR, MONTH) integer statistics: history and monthly in one pass
 
 
 def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
@@ -85,6 +86,7 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
     ym = clim.year_month_summary(clim.month_histogram_from_days(day_hist))
     monthly = clim.assemble_monthly(ym)
     history = clim.assemble_history(ym)
+    month_raw = clim.month_level_raw(ym)
 
     nonnull = F.col("DATA_VALUE").isNotNull()
     counts = day_hist.groupBy("ID").agg(
@@ -97,11 +99,11 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
     )
     # A summary exists only where the corresponding output has rows.
     daily_summary = writers.summary_frame(counts)
-    monthly_summary = counts.join(clim.history_rows(history), "ID").select(
+    monthly_summary = counts.join(clim.history_rows_from_histogram(day_hist), "ID").select(
         "ID", *[f"{e}_raw_count" for e in ELEMENTS], "monthly_history_rows"
     )
     flagged = st.flag_missing(matched, daily, monthly)
-    return StationOutputs(daily, monthly, history, daily_summary, monthly_summary, flagged, day_hist)
+    return StationOutputs(daily, monthly, history, daily_summary, monthly_summary, flagged, day_hist, month_raw)
 
 
 def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str, out_root: str,
@@ -142,11 +144,14 @@ def release(out: StationOutputs) -> None:
 
 
 def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite") -> None:
-    """All per-station files of ``out`` in one partitioned text write."""
+    """All per-station files of ``out`` in one partitioned text write.
+
+    Monthly climatology and history lines come from one pass over the
+    month-level statistics (``writers.month_level_lines``).
+    """
     lines = (
         writers.csv_lines(out.daily, "daily")
-        .unionByName(writers.csv_lines(out.monthly, "monthly"))
-        .unionByName(writers.csv_lines(out.history, "history", "monthly-history"))
+        .unionByName(writers.month_level_lines(out.month_raw, "monthly-history", "monthly"))
         .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
         .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
     )

@@ -170,3 +170,68 @@ def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: b
     parts = ["KIND", "PFX", "ID"] if by_kind else ["PFX", "ID"]
     ordered = lines.sortWithinPartitions(*parts, "_ORD")
     _writer(ordered.select(*parts, "value"), mode, dynamic).partitionBy(*parts).text(root)
+
+
+def _text(c: F.Column, kind: str) -> F.Column:
+    """CSV text of one value: two decimals for doubles, ISO dates, plain integers, null empty."""
+    if kind == "double":
+        t = fmt2(c)
+    elif kind == "date":
+        t = F.date_format(c, "yyyy-MM-dd")
+    else:
+        t = c.cast("string")
+    return F.coalesce(t, F.lit(""))
+
+
+# History columns that stay integers (precipitation extremes / totals, counts, keys).
+_INT_HISTORY = {"YEAR", "MONTH", "PRCP_MIN", "PRCP_MAX", "PRCP_SUM"} | {c for c in HISTORY_COLUMNS if c.endswith("_COUNT")}
+
+
+def _kind_of(name: str, kind: str) -> str:
+    if name == "PERIOD_START":
+        return "date"
+    if kind == "history":
+        return "int" if name in _INT_HISTORY else "double"
+    return "int" if name in ("DAY", "MONTH", "DAY_OF_MONTH") else "double"
+
+
+def month_level_lines(raw: DataFrame, history_label: str = "monthly-history",
+                      monthly_label: str = "monthly") -> DataFrame:
+    """History and monthly-climatology lines from ONE pass over ``month_level_raw``.
+
+    Each (ID, YEAR, MONTH) row yields its history line; the first year of each
+    (ID, MONTH) also yields that month's climatology line, whose values are
+    window averages / extremes over the (ID, MONTH) rows.  Both windows are
+    keyed by ID, so on ID-partitioned input there is no shuffle, and the
+    month-level ranking is computed once instead of once per output.
+    """
+    from ..operators.climatology import history_values, monthly_values_over
+
+    by_month = Window.partitionBy("ID", "MONTH").orderBy("YEAR")
+    whole_month = by_month.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hist = history_values()
+    mon = monthly_values_over(whole_month)
+    hist_line = F.concat_ws(",", *[_text(hist[c], _kind_of(c, "history")) for c in HISTORY_COLUMNS])
+    mon_line = F.concat_ws(",", *[_text(mon[c], _kind_of(c, "monthly")) for c in MONTHLY_COLUMNS])
+    first_year = F.row_number().over(by_month) == 1
+    rows = raw.select(
+        "ID",
+        (F.col("YEAR").cast("long") * 100 + F.col("MONTH")).alias("_HORD"),
+        hist_line.alias("_HLINE"),
+        F.col("MONTH").cast("long").alias("_MORD"),
+        F.when(first_year, mon_line).alias("_MLINE"),
+    )
+    by_station = Window.partitionBy("ID")
+    h_head = F.lit(",".join(HISTORY_COLUMNS) + "\n")
+    m_head = F.lit(",".join(MONTHLY_COLUMNS) + "\n")
+    h_val = F.when(F.col("_HORD") == F.min("_HORD").over(by_station), F.concat(h_head, "_HLINE")).otherwise(
+        F.col("_HLINE"))
+    m_val = F.when(F.col("_MORD") == F.min("_MORD").over(by_station), F.concat(m_head, "_MLINE")).otherwise(
+        F.col("_MLINE"))
+    both = rows.select("ID", F.array(
+        F.struct(F.lit(history_label).alias("KIND"), F.col("_HORD").alias("_ORD"), h_val.alias("value")),
+        F.struct(F.lit(monthly_label).alias("KIND"), F.col("_MORD").alias("_ORD"), m_val.alias("value")),
+    ).alias("_L"))
+    out = both.select("ID", F.explode("_L").alias("_l")).where(F.col("_l.value").isNotNull())
+    return out.select(F.col("_l.KIND").alias("KIND"), path_prefix("ID").alias("PFX"), "ID",
+                      F.col("_l._ORD").alias("_ORD"), F.col("_l.value").alias("value"))

@@ -98,8 +98,13 @@ def test_bucketed_table_keeps_id_partitioning(spark, merged, tmp_path):
     tv.t_station_lines(spark, SF_SMALL).write.text(str(tmp_path / "st"))
     out = jobs.station_outputs(scan_obs_merged(spark, merged), scan_stations_fixed_width(spark, str(tmp_path / "st")),
                                materialize="table")
-    for df in (out.daily, out.monthly, out.history, out.daily_summary):
+    for df in (out.daily, out.monthly, out.history, out.daily_summary, out.monthly_summary):
         assert pi.count_exchanges(df) == 0
+    from stationclim.sinks import writers
+
+    fused = writers.month_level_lines(out.month_raw)
+    assert pi.count_exchanges(fused) == 0
+    assert pi.physical_plan(fused).count("Window") <= 4  # quantile, (ID, MONTH) and per-station header windows
     exp = clim.daily_output(st_filter(spark, merged))
     assert out.daily.exceptAll(exp).count() == 0 and exp.exceptAll(out.daily).count() == 0
 

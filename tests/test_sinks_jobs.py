@@ -78,7 +78,16 @@ def test_all_stations_job(spark, layout):
     expected = st.filter_station(clim.daily_output(obs), st.filter_station_prefix(obs.select("ID")))
     assert daily.exceptAll(expected).count() == 0 and expected.exceptAll(daily).count() == 0
     hist = scan_output_csv(spark, f"{out_root}/KIND=monthly-history", "history")
-    assert hist.count() == out.history.count()
+    matched_ids = st.filter_station_prefix(obs.select("ID"))
+    exp_hist = st.filter_station(clim.history_output(obs), matched_ids)
+    assert hist.exceptAll(exp_hist).count() == 0 and exp_hist.exceptAll(hist).count() == 0
+    mon = scan_output_csv(spark, f"{out_root}/KIND=monthly", "monthly")
+    exp_mon = st.filter_station(clim.monthly_output(obs), matched_ids)
+    assert mon.exceptAll(exp_mon).count() == 0 and exp_mon.exceptAll(mon).count() == 0
+    for kind, first in (("monthly", "MONTH,"), ("monthly-history", "PERIOD_START,"), ("daily", "DAY,")):
+        files = glob.glob(f"{out_root}/KIND={kind}/PFX=*/ID=*/part-*")
+        assert files and all(open(f).readline().startswith(first) for f in files)
+        assert all(sum(1 for line in open(f) if line.startswith(first)) == 1 for f in files)
     summary = spark.read.json(f"{out_root}/KIND=monthly-stats").collect()
     assert summary and all(r.monthly_history_rows > 0 for r in summary)
     assert "monthly_history_rows" not in spark.read.json(f"{out_root}/KIND=daily-stats").columns

@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit -m stationclim <command> ...`` or ``python -m stationclim``.
+"""Command line: ``python -m stationclim <command> ...`` (Spark settings from spark-defaults / PYSPARK_SUBMIT_ARGS).
 
 Commands
   merge     raw STATION=/ELEMENT= layout -> merged table (batch; --incremental uses the stream)

@@ -37,6 +37,7 @@ def _args(argv):
             s.add_argument("--prefixes", default=",".join(STATION_PREFIXES))
         else:
             s.add_argument("--id", action="append", required=True, help="station ID (repeatable)")
+            s.add_argument("--window", default="both", choices=["daily", "monthly", "both"])
 
     w = sub.add_parser("wide")
     w.add_argument("--wide", required=True)
@@ -62,7 +63,9 @@ def main(argv=None) -> int:
         jobs.all_stations_job(spark, a.merged, a.stations, a.out, dt.date.fromisoformat(a.cutoff),
                               tuple(x for x in a.prefixes.split(",") if x), a.mode)
     elif a.cmd == "station":
-        jobs.selected_stations_job(spark, a.merged, a.id, a.out, dt.date.fromisoformat(a.cutoff), a.mode)
+        windows = jobs.WINDOWS if a.window == "both" else (a.window,)
+        jobs.selected_stations_job(spark, a.merged, a.id, a.out, dt.date.fromisoformat(a.cutoff), a.mode,
+                                   windows=windows)
     elif a.cmd == "wide":
         jobs.wide_job(spark, a.wide, a.out, dt.date.fromisoformat(a.cutoff))
     return 0

@@ -143,23 +143,36 @@ def release(out: StationOutputs) -> None:
         h.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite") -> None:
-    """All per-station files of ``out`` in one partitioned text write.
+WINDOWS = ("daily", "monthly")
 
-    Monthly climatology and history lines come from one pass over the
-    month-level statistics (``writers.month_level_lines``).
+
+def write_station_outputs(out: StationOutputs, root: str, mode: str = "overwrite",
+                          windows: Sequence[str] = WINDOWS) -> None:
+    """Per-station files of ``out`` for the given windows in one partitioned text write.
+
+    ``daily`` writes the daily climatology and its summary; ``monthly`` the
+    monthly climatology, the history and their summary.  Monthly climatology
+    and history lines come from one pass over the month-level statistics
+    (``writers.month_level_lines``).
     """
-    lines = (
-        writers.csv_lines(out.daily, "daily")
-        .unionByName(writers.month_level_lines(out.month_raw, "monthly-history", "monthly"))
-        .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
-        .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
-    )
+    unknown = set(windows) - set(WINDOWS)
+    if unknown or not windows:
+        raise ValueError(f"windows must be a non-empty subset of {WINDOWS}, got {list(windows)}")
+    parts = []
+    if "daily" in windows:
+        parts += [writers.csv_lines(out.daily, "daily"), writers.json_lines(out.daily_summary, "daily-stats")]
+    if "monthly" in windows:
+        parts += [writers.month_level_lines(out.month_raw, "monthly-history", "monthly"),
+                  writers.json_lines(out.monthly_summary, "monthly-stats")]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
     writers.write_lines(lines, root.rstrip("/"), mode)
 
 
 def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Sequence[str], out_root: str,
-                          cutoff=DEFAULT_CUTOFF, mode: str = "overwrite", materialize: str = "table") -> StationOutputs:
+                          cutoff=DEFAULT_CUTOFF, mode: str = "overwrite", materialize: str = "table",
+                          windows: Sequence[str] = WINDOWS) -> StationOutputs:
     """Outputs for the given stations only (the per-station runs of the original scripts).
 
     The ID list becomes a pushed ``In`` / ``EqualTo`` parquet filter, so only the
@@ -168,7 +181,7 @@ def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Se
     obs = scan_obs_merged(spark, merged_root, stations=list(dict.fromkeys(station_ids)))
     ids = spark.createDataFrame([(i,) for i in dict.fromkeys(station_ids)], "ID string")
     out = station_outputs(obs, ids, cutoff, prefixes=("",), materialize=materialize)
-    write_station_outputs(out, out_root, mode)
+    write_station_outputs(out, out_root, mode, windows)
     release(out)
     return out
 

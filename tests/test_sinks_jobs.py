@@ -123,6 +123,9 @@ def test_cli_station_run(spark, layout):
     got = scan_output_csv(spark, f"{out_root}/KIND=monthly", "monthly")
     exp = clim.monthly_output(tv.t_obs(spark, SF_SMALL)).where(F.col("ID").isin(*ids))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    only_daily = str(layout["root"] / "one-daily")
+    assert main(["station", "--merged", layout["merged"], "--out", only_daily, "--id", ids[0], "--window", "daily"]) == 0
+    assert sorted(d for d in os.listdir(only_daily) if d.startswith("KIND=")) == ["KIND=daily", "KIND=daily-stats"]
 
 
 def test_cli_merge_stations_wide(spark, tmp_path):

@@ -137,7 +137,7 @@ def _div(element: str) -> float:
     return 10.0 if element in TENTHS_ELEMENTS else 1.0
 
 
-def _climatology_values() -> list[F.Column]:
+def climatology_values() -> list[F.Column]:
     """The five reported climatology columns as conditional aggregates."""
     return [
         (F.avg(_of("TMIN", "P10")) / _div("TMIN")).alias("TMIN_P10"),
@@ -150,7 +150,7 @@ def _climatology_values() -> list[F.Column]:
 
 def assemble_daily(yd: DataFrame) -> DataFrame:
     """Daily climatology of every station: keys are the union over elements."""
-    combined = yd.groupBy("ID", "MONTH", "DAY_OF_MONTH").agg(*_climatology_values())
+    combined = yd.groupBy("ID", "MONTH", "DAY_OF_MONTH").agg(*climatology_values())
     w = Window.partitionBy("ID").orderBy("MONTH", "DAY_OF_MONTH")
     out = combined.withColumn("DAY", F.row_number().over(w))
     return out.select(
@@ -161,7 +161,7 @@ def assemble_daily(yd: DataFrame) -> DataFrame:
 
 def assemble_monthly(ym: DataFrame) -> DataFrame:
     """Monthly climatology of every station (months with any non-null value)."""
-    combined = ym.groupBy("ID", "MONTH").agg(*_climatology_values())
+    combined = ym.groupBy("ID", "MONTH").agg(*climatology_values())
     return combined.select(
         "ID", *[F.col(c) if c == "MONTH" else round2(c).alias(c) for c in MONTHLY_COLUMNS]
     )

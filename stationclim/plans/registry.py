@@ -370,7 +370,7 @@ def q_union_distinct_keys(spark, sf_dir):
 
 
 def _combined(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return df.groupBy(*keys).agg(*clim._climatology_values())
+    return df.groupBy(*keys).agg(*clim.climatology_values())
 
 
 @register("join_elements_daily")

@@ -1,0 +1 @@
+"""Column-expression builders (JVM-side functions only)."""

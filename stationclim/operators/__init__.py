@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators: quantile summaries, climatology, stations, wide files, charts."""

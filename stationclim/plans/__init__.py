@@ -1,0 +1 @@
+"""Jobs, the query registry, plan inspection and sizing helpers."""

@@ -1,0 +1 @@
+"""Incremental (Structured Streaming) form of the merge job."""

@@ -114,3 +114,13 @@ def st_filter(spark, merged):
 
     o = scan_obs_merged(spark, merged)
     return st.filter_station_prefix(o)
+
+
+def test_no_python_and_no_cross_joins_in_any_registered_query(spark):
+    import __spark_entry__ as se
+
+    for name, q in se.queries().items():
+        plan = pi.physical_plan(q(spark, SF_SMALL))
+        for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
+                    "ObjectHashAggregate"):
+            assert bad not in plan, (name, bad)

@@ -260,6 +260,24 @@ def output_presence(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
     )
 
 
+def summary_counts(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
+    """Per station with any observation since ``cutoff``: non-null counts per element (0 if none).
+
+    Unlike ``raw_counts`` a station whose values are all null keeps its row
+    (it has a daily output, so it gets a daily summary).
+    """
+    nonnull = F.col("DATA_VALUE").isNotNull()
+    return filter_from(obs, cutoff).groupBy("ID").agg(
+        *[F.count_if(nonnull & (F.col("ELEMENT") == e)).alias(f"{e}_raw_count") for e in ELEMENTS]
+    )
+
+
+def history_rows_from_obs(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
+    """``history_rows`` from the observations: distinct (YEAR, MONTH) with a non-null value."""
+    months = with_date_parts(filter_not_null(filter_from(obs, cutoff))).select("ID", "YEAR", "MONTH").distinct()
+    return months.groupBy("ID").agg(F.count(F.lit(1)).alias("monthly_history_rows"))
+
+
 def history_rows_from_histogram(day_hist: DataFrame) -> DataFrame:
     """``history_rows`` without building the history: distinct (YEAR, MONTH) with a non-null value."""
     months = day_hist.where(F.col("DATA_VALUE").isNotNull()).select("ID", "YEAR", "MONTH").distinct()

@@ -88,18 +88,22 @@ def station_outputs(obs: DataFrame, stations: DataFrame, cutoff=DEFAULT_CUTOFF,
     history = clim.assemble_history(ym)
     month_raw = clim.month_level_raw(ym)
 
-    nonnull = F.col("DATA_VALUE").isNotNull()
-    counts = day_hist.groupBy("ID").agg(
-        *[
-            F.coalesce(F.sum(F.when(nonnull & (F.col("ELEMENT") == e), F.col("C"))), F.lit(0).cast("long")).alias(
-                f"{e}_raw_count"
-            )
-            for e in ELEMENTS
-        ]
-    )
-    # A summary exists only where the corresponding output has rows.
+    # A summary exists only where the corresponding output has rows.  With the
+    # histogram materialised the counts come from it (no shuffle); otherwise
+    # they come from partial aggregates of the observations instead of
+    # rebuilding the value histogram just to count rows.
+    if materialize is not None:
+        nonnull = F.col("DATA_VALUE").isNotNull()
+        counts = day_hist.groupBy("ID").agg(*[
+            F.coalesce(F.sum(F.when(nonnull & (F.col("ELEMENT") == e), F.col("C"))), F.lit(0).cast("long"))
+            .alias(f"{e}_raw_count") for e in ELEMENTS
+        ])
+        hist_rows = clim.history_rows_from_histogram(day_hist)
+    else:
+        counts = clim.summary_counts(obs_m, cutoff)
+        hist_rows = clim.history_rows_from_obs(obs_m, cutoff)
     daily_summary = writers.summary_frame(counts)
-    monthly_summary = counts.join(clim.history_rows_from_histogram(day_hist), "ID").select(
+    monthly_summary = counts.join(hist_rows, "ID").select(
         "ID", *[f"{e}_raw_count" for e in ELEMENTS], "monthly_history_rows"
     )
     flagged = st.flag_missing(matched, daily, monthly)

@@ -147,3 +147,15 @@ def test_cli_merge_stations_wide(spark, tmp_path):
     tv.t_wide(spark, SF_SMALL).write.partitionBy("STATION").parquet(wide)
     assert main(["wide", "--wide", wide, "--out", wout]) == 0
     assert scan_output_csv(spark, f"{wout}/KIND=daily", "daily").count() > 0
+
+
+def test_summaries_same_with_and_without_materialised_histogram(spark, layout):
+    stations = tv.t_station_lines(spark, SF_SMALL)
+    from stationclim.sources.stations import parse_station_lines
+
+    st_df = parse_station_lines(stations)
+    a = jobs.station_outputs(scan_obs_merged(spark, layout["merged"]), st_df)
+    b = jobs.station_outputs(scan_obs_merged(spark, layout["merged"]), st_df, materialize="table")
+    for x, y in ((a.daily_summary, b.daily_summary), (a.monthly_summary, b.monthly_summary)):
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+    jobs.release(b)

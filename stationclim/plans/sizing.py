@@ -13,18 +13,31 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                       rows: int | None = None) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    The row count is one cheap action on the (small) side itself.  Beyond
-    the bound the plain DataFrame is returned and Spark plans a shuffle join.
+    The row count (``rows``, or one cheap action on the small side itself) is
+    the proof of the bound.  Beyond it the plain DataFrame is returned and
+    Spark plans a shuffle join.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
 
 
+_FILE_ROWS: dict[tuple[str, str], int] = {}
+
+
+def file_rows(spark, path: str) -> int:
+    """Row count of an immutable input file set, counted once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _FILE_ROWS:
+        _FILE_ROWS[key] = spark.read.parquet(path).count()
+    return _FILE_ROWS[key]
+
+
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Suggested settings for a run over ``input_bytes`` of parquet input.
 

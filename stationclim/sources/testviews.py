@@ -47,15 +47,17 @@ def t_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """obs(ID, ELEMENT, DATE, DATA_VALUE) from lineitem x supplier.
 
     ``supplier`` (two integer columns) is broadcast only after its row count
-    is checked against ``MAX_BROADCAST_ROWS``; beyond that bound Spark plans
-    a shuffle join.
+    (counted once per application; the test tables are read-only) is checked
+    against ``MAX_BROADCAST_ROWS``; beyond that bound Spark plans a shuffle join.
     """
-    from ..plans.sizing import broadcast_if_small
+    from ..plans.sizing import broadcast_if_small, file_rows
 
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", "l_linenumber"
     )
-    su, _ = broadcast_if_small(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    supplier_path = f"{sf_dir.rstrip('/')}/supplier.parquet"
+    su, _ = broadcast_if_small(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"),
+                               rows=file_rows(spark, supplier_path))
     j = li.join(su, li.l_suppkey == su.s_suppkey)
     return j.select(
         station_id("s_nationkey").alias("ID"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationclim.llm import decontaminate, packing, quality_rules
+from stationclim.llm import decontaminate, near_dup, packing, quality_model, quality_rules
 from stationclim.llm.common import materialise, table
 
 
@@ -16,6 +16,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_inliers(docs)
 
 
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The classifier learns from the labelled documents of the whole table, whether or not they are still in ``docs``."""
+    return quality_model.keep_good(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -26,6 +35,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("quality_classifier", classified),
+    ("near_dedup", deduplicated),
     ("benchmark_decontamination", decontaminated),
     ("best_fit_packing", packed),
 ]

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licences, packing, quality_rules, sharding, token_counts
+from . import chat, decontaminate, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts
 from .common import table
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_label_propagation, op4_prefix_join, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
+    op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
     op9_budgeted_windows, op10_conflict_best_fit)}
 
 

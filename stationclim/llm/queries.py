@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts
+from . import chat, decontaminate, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.hits(docs, bench))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known_texts(spark))
 
@@ -46,7 +50,7 @@ def op10_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
+    op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op5_attention_lm, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
     op9_budgeted_windows, op10_conflict_best_fit)}
 
 

@@ -20,10 +20,13 @@ Search.  Equal texts become one representative first.  ``BANDS`` bands of
 ``ROWS`` components give buckets; a pair at the threshold meets in at least
 one with probability 1 - (1 - 0.8^8)^48 > 0.9998.  In each bucket all members
 are verified against one hub.  Buckets whose members then still belong to
-several classes get new hubs, twice, and at last all pairs *between* classes
-in a bucket are verified.  Pairs inside one class need no check, since they
-cannot change it; so no link between classes is lost and no group of copies
-is multiplied out.
+several classes get new hubs, twice.  What is still open (dense groups just
+below the threshold) is compared exactly in blocks: texts connected by open
+buckets are dealt into blocks of about ``BLOCK`` rows, one task compares two
+blocks by a product of their shingle matrices, and only links leave it.
+Blocks of one and the same class are not compared, since pairs inside a class
+cannot change it; so no link between classes is lost, no group of copies is
+multiplied out and no list of candidate pairs is built.
 
 Defined results: texts of fewer than five words, but not none, are one
 shingle; texts without a word are linked with equal texts only; null counts
@@ -48,6 +51,8 @@ THRESHOLD = 0.8
 BANDS = 48
 ROWS = 8
 EXTRA_ROUNDS = 2
+BLOCK = 64
+COLUMNS = 8_192  # shingles of a block pair that are multiplied at once
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,6 +193,62 @@ def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(placed.join(several, "bucket"), "dup-members")
 
 
+def _block_links(texts: pa.Array, size: int, threshold: float) -> np.ndarray:
+    """Matrix of all pairs of texts that are similar enough."""
+    n = len(texts)
+    elem, row, count = text_multisets(texts, size)
+    # The k-th copy of a shingle is a token of its own: multisets become sets.
+    each = np.repeat(np.arange(row.size), count)
+    copy = np.arange(each.size) - np.repeat(np.cumsum(count) - count, count)
+    token, column = np.unique(tv.mix(elem[each] + copy.astype(np.uint64) * _GAMMA), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, who = column[order], row[each][order]
+    both = np.zeros((n, n))
+    for at in range(0, token.size, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((n, min(COLUMNS, token.size - at)), np.float32)
+        part[who[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    weight = np.diag(both)
+    return both >= threshold * (weight[:, None] + weight - both) - 1e-9
+
+
+def _compare_blocks(members: DataFrame, rows: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) between classes among texts that open buckets connect."""
+    first = materialise(members.groupBy("bucket").agg(F.min("rid").alias("a")), "dup-firsts")
+    near = members.select("bucket", F.col("rid").alias("b")).join(first, "bucket").where(F.col("a") != F.col("b"))
+    group = components(near.select("a", "b").distinct()).withColumnRenamed("comp", "grp")
+    open_rows = materialise(members.select("rid", "comp").distinct().join(group, "rid"), "dup-open-rows")
+    # A large class has blocks of its own, the small ones of a group share blocks.
+    sizes = materialise(open_rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n")), "dup-class-sizes")
+    small = sizes.where(F.col("n") < BLOCK // 2).groupBy("grp").agg(F.sum("n").alias("pooled"))
+    sizes = materialise(sizes.join(small, "grp", "left").select(
+        "grp", "comp", F.when(F.col("n") >= BLOCK // 2, F.col("comp")).alias("whole"),
+        F.ceil(F.when(F.col("n") >= BLOCK // 2, F.col("n")).otherwise(F.col("pooled")) / BLOCK).alias("parts")), "dup-parts")
+    dealt = open_rows.join(sizes, ["grp", "comp"])
+    part = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("comp")).otherwise(F.col("rid"))), F.col("parts"))
+    dealt = materialise(dealt.select("grp", "rid", "comp", "whole", F.struct(
+        F.coalesce("whole", F.lit(-1)).alias("c"), part.alias("p")).alias("block")), "dup-dealt")
+    blocks = materialise(dealt.select("grp", "block", "whole").distinct(), "dup-blocks")
+    pairs = blocks.join(blocks.select("grp", F.col("block").alias("other"), F.col("whole").alias("other_whole")), "grp").where(
+        (F.col("block") <= F.col("other")) & ~(F.col("whole").isNotNull() & F.col("whole").eqNullSafe(F.col("other_whole"))))
+    pairs = materialise(pairs.select("grp", "block", "other", F.xxhash64("grp", "block", "other").alias("pair")), "dup-block-pairs")
+    sides = pairs.select("grp", "block", "pair").unionByName(
+        pairs.where(F.col("block") != F.col("other")).select("grp", F.col("other").alias("block"), "pair"))
+    wide = dealt.join(sides, ["grp", "block"]).select("pair", "rid", "comp").join(rows.select("rid", "text"), "rid")
+
+    def compare(f):
+        import pandas as pd
+
+        f = f.drop_duplicates("rid").reset_index(drop=True)
+        link = _block_links(pa.array(f["text"], pa.string()), size, threshold)
+        comp, rid = f["comp"].to_numpy(), f["rid"].to_numpy()
+        x, y = np.nonzero(np.triu(link & (comp[:, None] != comp), 1))
+        return pd.DataFrame({"a": rid[x], "b": rid[y]})
+
+    return materialise(wide.groupBy("pair").applyInPandas(compare, "a bigint, b bigint").distinct(), "dup-links")
+
+
 def _new_pairs(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return materialise(ordered.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
@@ -230,16 +291,11 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
                 F.min(F.struct(F.xxhash64("rid", "bucket", F.lit(i)), "rid", "comp", "weight")).alias("h")).select(
                 "bucket", F.col("h.rid").alias("y"), F.col("h.comp").alias("hc"), F.col("h.weight").alias("hw")), "dup-hubs")
             found = members.join(hub, "bucket").where((F.col("comp") != F.col("hc")) & near(F.col("weight"), F.col("hw")))
-            found = found.select(F.col("rid").alias("x"), "y")
+            pairs = _new_pairs(found.select(F.col("rid").alias("x"), "y"), tested)
+            tested = tested.unionByName(pairs)
+            more = verify(pairs, rows, threshold, size)
         else:
-            left = members.select("bucket", F.col("rid").alias("x"), F.col("comp").alias("cx"), F.col("weight").alias("wx"))
-            right = members.select("bucket", F.col("rid").alias("y"), F.col("comp").alias("cy"), F.col("weight").alias("wy"))
-            found = left.join(right, "bucket").where((F.col("cx") < F.col("cy")) & near(F.col("wx"), F.col("wy"))).select("x", "y")
-        pairs = _new_pairs(found, tested)
-        if not pairs.head(1):
-            continue
-        more = verify(pairs, rows, threshold, size)
-        tested = tested.unionByName(pairs)
+            more = _compare_blocks(members, rows, threshold, size)
         if more.head(1):
             links = links.unionByName(more)
             label = components(links)

@@ -1,7 +1,7 @@
 """Command line: ``python -m stationclim <command> ...`` (Spark settings from spark-defaults / PYSPARK_SUBMIT_ARGS).
 
 Commands
-  merge     raw STATION=/ELEMENT= layout -> merged table (batch; --incremental uses the stream)
+  merge     raw STATION=/ELEMENT= layout -> merged table
   stations  every station matching the prefixes: daily, monthly, history, summaries, GeoJSON
   station   the same outputs for the given station IDs only (scan filtered by ID)
   wide      ordinal-day / month aggregation of wide per-station files
@@ -23,8 +23,6 @@ def _args(argv):
     m = sub.add_parser("merge")
     m.add_argument("--raw", required=True)
     m.add_argument("--merged", required=True)
-    m.add_argument("--incremental", action="store_true", help="process only files not merged yet")
-    m.add_argument("--checkpoint", help="stream checkpoint folder (incremental)")
 
     for name in ("stations", "station"):
         s = sub.add_parser(name)
@@ -53,12 +51,7 @@ def main(argv=None) -> int:
 
     spark = get_session()
     if a.cmd == "merge":
-        if a.incremental:
-            from .streaming.ingest import run_merge_stream
-
-            run_merge_stream(spark, a.raw, a.merged, a.checkpoint)
-        else:
-            jobs.merge_job(spark, a.raw, a.merged)
+        jobs.merge_job(spark, a.raw, a.merged)
     elif a.cmd == "stations":
         jobs.all_stations_job(spark, a.merged, a.stations, a.out, dt.date.fromisoformat(a.cutoff),
                               tuple(x for x in a.prefixes.split(",") if x), a.mode)

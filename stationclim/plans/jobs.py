@@ -6,9 +6,9 @@
 * ``wide_job``              legacy ordinal-day / month aggregation of wide files
 
 The station jobs scan the observations once.  The ID-partitioned day
-histogram is persisted (memory, spilling to disk; a lost block is recomputed
-from lineage) or, with ``materialize="table"``, written bucketed by ID to the shared checkpoint
-folder; every output is derived from it without another shuffle.
+histogram is written bucketed by ID to the shared checkpoint folder or, with
+``materialize="cache"``, persisted (memory, spilling to disk; a lost block is
+recomputed from lineage); every output is derived from it without another shuffle.
 """
 
 from __future__ import annotations

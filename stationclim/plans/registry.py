@@ -266,7 +266,7 @@ def q_station_path_prefix(spark, sf_dir):
 
 @register("lookup_station")
 def q_lookup_station(spark, sf_dir):
-    return st.lookup_station(stations(spark, sf_dir), obs(spark, sf_dir).select("ID"))
+    return st.lookup_station(stations(spark, sf_dir), obs(spark, sf_dir).select("ID").distinct())
 
 
 @register("filter_bounds")

@@ -160,14 +160,30 @@ def json_lines(df: DataFrame, label: str) -> DataFrame:
     )
 
 
+def _present(spark, root: str, parts: list[str]) -> DataFrame | None:
+    """The partitions that ``root`` holds, or None where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    schema = "value string, " + ", ".join(f"{c} string" for c in parts)
+    return spark.read.schema(schema).text(root).select(*parts).distinct()
+
+
 def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: bool = True,
                 by_kind: bool = True) -> None:
     """Write ``csv_lines`` / ``json_lines`` (unioned) as ``root/KIND=/PFX=/ID=/part-*``.
 
     One job writes every kind; within a station file the header comes first
     and rows follow in ``_ORD`` order.  ``by_kind=False`` drops the KIND level.
+    ``mode="ignore"`` leaves every station and kind that is already there as it
+    is and writes the others.
     """
     parts = ["KIND", "PFX", "ID"] if by_kind else ["PFX", "ID"]
+    if mode == "ignore":
+        present = _present(lines.sparkSession, root, parts)
+        if present is not None:
+            lines = lines.join(present, parts, "left_anti")
+        mode = "append"
     ordered = lines.sortWithinPartitions(*parts, "_ORD")
     _writer(ordered.select(*parts, "value"), mode, dynamic).partitionBy(*parts).text(root)
 

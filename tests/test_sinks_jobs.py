@@ -159,3 +159,14 @@ def test_summaries_same_with_and_without_materialised_histogram(spark, layout):
     for x, y in ((a.daily_summary, b.daily_summary), (a.monthly_summary, b.monthly_summary)):
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
     jobs.release(b)
+
+
+def test_ignore_mode_is_per_station(spark, tmp_path):
+    """A second run in ``ignore`` mode writes new stations and leaves the others as they were."""
+    root = str(tmp_path / "out")
+    schema = "KIND string, PFX string, ID string, _ORD bigint, value string"
+    writers.write_lines(spark.createDataFrame([("daily", "CHM", "CHM1", 0, "old")], schema), root, mode="ignore")
+    again = [("daily", "CHM", "CHM1", 0, "new"), ("monthly", "CHM", "CHM1", 0, "m"), ("daily", "00", "007", 0, "b")]
+    writers.write_lines(spark.createDataFrame(again, schema), root, mode="ignore")
+    got = spark.read.schema("value string, KIND string, PFX string, ID string").text(root).collect()
+    assert {(r.KIND, r.ID, r.value) for r in got} == {("daily", "CHM1", "old"), ("monthly", "CHM1", "m"), ("daily", "007", "b")}

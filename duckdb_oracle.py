@@ -9,6 +9,8 @@ rules in ``stationclim/sources/testviews.py`` are shared.
 
 from __future__ import annotations
 
+import re
+
 # --------------------------------------------------------------------------- fixture views
 
 T_OBS = """
@@ -182,17 +184,28 @@ stations AS (
 ),
 matched AS (SELECT * FROM stations WHERE {_MATCH})"""
 
+# Stations without a value: one per region, those with an even key with one null observation.
 FLAGGED = """
+silent AS (
+  SELECT 'CHM000' || CAST(90000 + r_regionkey AS VARCHAR) AS ID,
+    CAST(r_regionkey * 10 - 20 AS DOUBLE) AS LATITUDE, CAST(r_regionkey * 20 - 40 AS DOUBLE) AS LONGITUDE,
+    10.0::DOUBLE AS ELEVATION, '' AS STATE, trim(r_name) AS NAME, '' AS GSN_FLAG, '' AS HCN_CRN_FLAG, '' AS WMO_ID
+  FROM region
+),
+some_obs AS (
+  SELECT ID, DATE, DATA_VALUE FROM t_obs
+  UNION ALL
+  SELECT 'CHM000' || CAST(90000 + r_regionkey AS VARCHAR), DATE '1971-03-05', NULL FROM region WHERE r_regionkey IN (0, 2, 4)
+),
 flagged AS (
   SELECT s.*,
-    NOT (EXISTS (SELECT 1 FROM t_obs o WHERE o.ID = s.ID AND NOT ends_with(o.ID, '7')
-                 AND o.DATE >= DATE '1970-01-01')
-         AND EXISTS (SELECT 1 FROM t_obs o WHERE o.ID = s.ID AND NOT ends_with(o.ID, '7')
-                 AND o.DATE >= DATE '1970-01-01' AND o.DATA_VALUE IS NOT NULL)) AS MISSING
-  FROM matched s
+    NOT (EXISTS (SELECT 1 FROM some_obs o WHERE o.ID = s.ID AND o.DATE >= DATE '1970-01-01')
+         AND EXISTS (SELECT 1 FROM some_obs o WHERE o.ID = s.ID AND o.DATE >= DATE '1970-01-01'
+                     AND o.DATA_VALUE IS NOT NULL)) AS MISSING
+  FROM (SELECT * FROM matched UNION ALL SELECT * FROM silent) s
 )"""
 
-WIDE = year_day("ydw", "") + """,
+WIDE = YEAR_MONTH + "," + year_day("ydw", "") + """,
 wide AS (
   SELECT ID AS STATION, make_date(YEAR, MONTH, DAY_OF_MONTH) AS DATE,
     max(CASE WHEN ELEMENT = 'TMIN' THEN P10 / 10.0::DOUBLE END) AS TMIN_P10,
@@ -209,10 +222,19 @@ wide_day AS (
     CAST(arg_min(day(DATE), DATE) AS INTEGER) AS DAY_OF_MONTH
   FROM wide WHERE DATE >= DATE '1970-01-01' GROUP BY STATION, dayofyear(DATE)
 ),
+wide_monthly AS (
+  SELECT ID, YEAR, MONTH,
+    max(CASE WHEN ELEMENT = 'TMIN' THEN P10 / 10.0::DOUBLE END) AS TMIN_P10,
+    max(CASE WHEN ELEMENT = 'TMAX' THEN P90 / 10.0::DOUBLE END) AS TMAX_P90,
+    max(CASE WHEN ELEMENT = 'TMIN' THEN MIN / 10.0::DOUBLE END) AS TMIN_MIN,
+    max(CASE WHEN ELEMENT = 'TMAX' THEN MAX / 10.0::DOUBLE END) AS TMAX_MAX,
+    max(CASE WHEN ELEMENT = 'PRCP' THEN CAST(SUM AS DOUBLE) END) AS PRCP_SUM
+  FROM ym GROUP BY ID, YEAR, MONTH
+),
 wide_month AS (
-  SELECT STATION AS ID, CAST(month(DATE) AS INTEGER) AS MONTH,
+  SELECT ID, MONTH,
     {a1} AS TMIN_P10, {a2} AS TMAX_P90, {a3} AS TMIN_MIN, {a4} AS TMAX_MAX, {a5} AS PRCP_SUM
-  FROM wide WHERE DATE >= DATE '1970-01-01' GROUP BY STATION, month(DATE)
+  FROM wide_monthly GROUP BY ID, MONTH
 )"""
 
 
@@ -322,7 +344,9 @@ def build() -> dict[str, str]:
     q["scan_stations_fixed_width"] = with_(STATIONS) + " SELECT * FROM stations"
     q["scan_wide_station_file"] = with_(T_OBS, WIDE) + " SELECT * FROM wide"
     q["scan_output_csv"] = with_(*ALL_OUT) + " SELECT * FROM monthly"
-    q["sink_mode"] = q["scan_output_csv"]
+    q["sink_mode"] = with_(*ALL_OUT) + (
+        f" SELECT * REPLACE (CASE WHEN {_MATCH} THEN TMAX_MAX ELSE CAST(MONTH AS DOUBLE) END AS TMAX_MAX) FROM monthly"
+    )
 
     daily_txt = ", ".join(
         [f"CAST(DAY AS VARCHAR) AS DAY"]
@@ -348,12 +372,36 @@ def build() -> dict[str, str]:
         hist_parts.append(f"CAST({e}_ENTRY_COUNT AS VARCHAR) AS {e}_ENTRY_COUNT")
     q["sink_history_csv"] = with_(*ALL_OUT) + f" SELECT {_pfx()} AS PFX, ID, {', '.join(hist_parts)} FROM history"
     q["sink_summary_json"] = _summary_sql(f", {_pfx('c.ID')} AS PFX")
-    q["assemble_all_stations"] = _summary_sql()
+    summary = _summary_sql()
+    at = summary.index("SELECT c.ID")
+
+    def line(text: str) -> str:
+        """A CSV line of the columns of ``text`` (``expr AS name, ...``)."""
+        exprs = [e.rsplit(" AS ", 1)[0] for e in re.split(r", (?=CAST\(|CASE WHEN|strftime)", text)]
+        return " || ',' || ".join(f"coalesce({e}, '')" for e in exprs)
+
+    def stats(name: str) -> str:
+        return f"'\"{name}\":' || CAST({name} AS VARCHAR)"
+
+    counts = " || ',' || ".join(stats(f"{e}_raw_count") for e in ("TMIN", "TMAX", "PRCP"))
+    rows = "', \"monthly_history_rows\":'".replace(" ", "")
+    q["assemble_all_stations"] = summary[:at].replace(
+        HISTORY, ",".join((HISTORY, YEAR_DAY, DAILY_CLIM_LONG, DAILY, MONTHLY_CLIM_LONG, MONTHLY))) + f"""
+, lines AS (
+SELECT 'daily' AS KIND, ID, {line(daily_txt)} AS LINE FROM daily
+UNION ALL SELECT 'monthly', ID, {line(monthly_txt)} FROM monthly
+UNION ALL SELECT 'monthly-history', ID, {line(', '.join(hist_parts))} FROM history
+UNION ALL SELECT 'daily-stats', ID, '{{' || {counts} || '}}' FROM cnt
+UNION ALL SELECT 'monthly-stats', c.ID, '{{' || {counts} || {rows} || CAST(h.monthly_history_rows AS VARCHAR) || '}}'
+  FROM cnt c JOIN hr h ON h.ID = c.ID
+)
+SELECT KIND, {_pfx()} AS PFX, ID, LINE FROM lines WHERE ID IN (SELECT ID FROM matched)
+"""
     geo = "SELECT 'Feature' AS FEATURE_TYPE, 'Point' AS GEOMETRY_TYPE, * FROM flagged"
     q["sink_geojson"] = with_(T_OBS, STATIONS, FLAGGED) + " " + geo
     q["geojson_features"] = q["sink_geojson"]
     q["sink_skip_empty"] = obs + (
-        f" SELECT DISTINCT ID FROM t_obs WHERE NOT ends_with(ID, '7') AND {since} AND DATA_VALUE IS NOT NULL"
+        f" SELECT DISTINCT ID FROM t_obs WHERE {since} AND DATA_VALUE IS NOT NULL"
     )
 
     q["filter_from_1970"] = obs + f" SELECT {OBS_COLS} FROM t_obs WHERE {since}"
@@ -430,7 +478,18 @@ def build() -> dict[str, str]:
     q["agg_axis_bounds"] = charts + " " + " UNION ALL ".join(
         bounds(v, n) for v, n in (("c_daily", "daily"), ("c_monthly", "monthly"), ("c_history", "history"))
     )
-    q["union_distinct_keys"] = with_(T_OBS, YEAR_DAY, DAILY_CLIM_LONG) + " SELECT DISTINCT ID, MONTH, DAY_OF_MONTH FROM dc"
+    q["union_distinct_keys"] = with_(T_OBS, YEAR_DAY, DAILY_CLIM_LONG, YEAR_MONTH, MONTHLY_CLIM_LONG) + (
+        " SELECT DISTINCT ID, 'day' AS LEVEL, CAST(NULL AS INTEGER) AS YEAR, MONTH, DAY_OF_MONTH FROM dc"
+        " UNION ALL SELECT DISTINCT ID, 'month', NULL, MONTH, NULL FROM mc"
+        " UNION ALL SELECT DISTINCT ID, 'year_month', YEAR, MONTH, NULL FROM ym"
+    )
+    stat_names = ("P10", "P90", "MIN", "MAX", "SUM", "COUNT")
+    renamed = lambda e: {s_: f"{e}_{'ENTRY_COUNT' if s_ == 'COUNT' else s_}" for s_ in stat_names}
+    q["rename_element_columns"] = ymq + " SELECT ID, PERIOD_START, YEAR, MONTH, " + ", ".join(
+        f"CASE WHEN ELEMENT = '{e}' THEN {s_} END AS {c}" for e in ("TMIN", "TMAX", "PRCP") for s_, c in renamed(e).items()
+    ) + " FROM ym"
+    q["existing_columns_only"] = ymq + " SELECT ID, PERIOD_START, YEAR, MONTH, " + ", ".join(
+        f"{s_} AS {c}" for s_, c in renamed("TMAX").items()) + " FROM ym WHERE ELEMENT = 'TMAX'"
     q["join_elements_daily"] = with_(*ALL_OUT) + (
         " SELECT ID, MONTH, DAY_OF_MONTH, TMIN_P10, TMAX_P90, TMIN_MIN, TMAX_MAX, PRCP_SUM FROM daily"
     )

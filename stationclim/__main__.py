@@ -39,6 +39,7 @@ def _args(argv):
 
     w = sub.add_parser("wide")
     w.add_argument("--wide", required=True)
+    w.add_argument("--wide-monthly", help="root of the monthly files; without it only the daily kind is written")
     w.add_argument("--out", required=True)
     w.add_argument("--cutoff", default=DEFAULT_CUTOFF.isoformat())
     return p.parse_args(argv)
@@ -60,7 +61,7 @@ def main(argv=None) -> int:
         jobs.selected_stations_job(spark, a.merged, a.id, a.out, dt.date.fromisoformat(a.cutoff), a.mode,
                                    windows=windows)
     elif a.cmd == "wide":
-        jobs.wide_job(spark, a.wide, a.out, dt.date.fromisoformat(a.cutoff))
+        jobs.wide_job(spark, a.wide, a.out, dt.date.fromisoformat(a.cutoff), wide_monthly_root=a.wide_monthly)
     return 0
 
 

@@ -127,6 +127,39 @@ def monthly_climatology_long(ym: DataFrame) -> DataFrame:
     return g.select("ID", "ELEMENT", "MONTH", *[scaled(s).alias(s) for s in STATS])
 
 
+# --------------------------------------------------------------------------- keys and column shapes
+
+def union_distinct_keys(parts: DataFrame) -> DataFrame:
+    """Keys of all elements, from one read of observations with date parts.
+
+    LEVEL ``day`` (MONTH, DAY_OF_MONTH; days without a value count), ``month``
+    (MONTH) and ``year_month`` (YEAR, MONTH), the last two of months with a
+    value; other key columns are null.
+    """
+    none = F.lit(None).cast("int")
+
+    def key(level, year, month, day):
+        return F.struct(F.lit(level).alias("LEVEL"), year.alias("YEAR"), month.alias("MONTH"), day.alias("DAY_OF_MONTH"))
+
+    y, m, d = F.col("YEAR"), F.col("MONTH"), F.col("DAY_OF_MONTH")
+    day = F.array(key("day", none, m, d))
+    month = F.array(key("month", none, m, none), key("year_month", y, m, none))
+    keys = F.when(F.col("DATA_VALUE").isNull(), day).otherwise(F.concat(day, month))
+    return parts.select("ID", F.explode(keys).alias("_k")).select("ID", "_k.*").distinct()
+
+
+def rename_element_columns(ym: DataFrame, element: str) -> DataFrame:
+    """Rows of one element with its statistics named ``<element>_<statistic>``."""
+    return ym.where(F.col("ELEMENT") == element).select(
+        "ID", "PERIOD_START", "YEAR", "MONTH", *[F.col(s).alias(f"{element}_{s}") for s in STATS],
+        F.col("COUNT").alias(f"{element}_ENTRY_COUNT"))
+
+
+def existing_columns_only(df: DataFrame, wanted) -> DataFrame:
+    """The columns of ``wanted`` that ``df`` has, in the order of ``wanted``."""
+    return df.select(*[c for c in wanted if c in df.columns])
+
+
 # --------------------------------------------------------------------------- element pivot
 
 def _of(element: str, c: str) -> F.Column:

@@ -6,9 +6,9 @@
 * ``wide_job``              legacy ordinal-day / month aggregation of wide files
 
 The station jobs scan the observations once.  The ID-partitioned day
-histogram is written bucketed by ID to the shared checkpoint folder or, with
-``materialize="cache"``, persisted (memory, spilling to disk; a lost block is
-recomputed from lineage); every output is derived from it without another shuffle.
+histogram is by default written as a table bucketed by ID under the shared
+checkpoint folder or, with ``materialize="cache"``, persisted (memory, spilling
+to disk; a lost block is recomputed from lineage); every output is derived from it without another shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ..operators import stations as st
 from ..operators import wide as wd
 from ..schema import DEFAULT_CUTOFF, ELEMENTS, STATION_PREFIXES
 from ..plans.sizing import write_bucketed_table
-from ..session import ensure_checkpoint_dir
+from ..session import drop_path, ensure_checkpoint_dir
 from ..sinks import writers
 from ..sources.observations import parse_obs_dates, scan_obs_merged, scan_obs_partitioned
 from ..sources.stations import scan_stations_fixed_width
@@ -124,27 +124,27 @@ def all_stations_job(spark: SparkSession, merged_root: str, stations_path: str,
     stations = scan_stations_fixed_width(spark, stations_path)
     out = station_outputs(obs, stations, cutoff, prefixes, materialize=materialize)
     root = out_root.rstrip("/")
-    write_station_outputs(out, root, mode)
-    # A summary exists exactly where the corresponding output has rows, so the
-    # per-station summaries (still served from the cached histogram) give MISSING.
-    flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), out.daily_summary, out.monthly_summary)
-    writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
-    release(out)
+    try:
+        write_station_outputs(out, root, mode)
+        # A summary exists exactly where the corresponding output has rows, so the
+        # per-station summaries (still served from the materialised histogram) give MISSING.
+        flagged = st.flag_missing(st.filter_station_prefix(stations, prefixes), out.daily_summary, out.monthly_summary)
+        writers.write_geojson(st.geojson_features(flagged), f"{root}/matched_stations.geojson", mode)
+    finally:
+        release(out)
     out.stations = flagged
     return out
 
 
 def release(out: StationOutputs) -> None:
-    """Drop the materialised histogram: unpersist a cache, forget a bucketed table.
-
-    Table files stay in the checkpoint folder, like checkpoint files.
-    """
+    """Drop the materialised histogram: unpersist a cache, forget a bucketed table and delete its files."""
     h = out.histogram
     if h.storageLevel.useMemory or h.storageLevel.useDisk:
         h.unpersist()
     name = getattr(h, "_stationclim_table", None)
     if name:
         h.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(h.sparkSession, h._stationclim_path)
 
 
 WINDOWS = ("daily", "monthly")
@@ -185,16 +185,23 @@ def selected_stations_job(spark: SparkSession, merged_root: str, station_ids: Se
     obs = scan_obs_merged(spark, merged_root, stations=list(dict.fromkeys(station_ids)))
     ids = spark.createDataFrame([(i,) for i in dict.fromkeys(station_ids)], "ID string")
     out = station_outputs(obs, ids, cutoff, prefixes=("",), materialize=materialize)
-    write_station_outputs(out, out_root, mode, windows)
-    release(out)
+    try:
+        write_station_outputs(out, out_root, mode, windows)
+    finally:
+        release(out)
     return out
 
 
 def wide_job(spark: SparkSession, wide_root: str, out_root: str, cutoff=DEFAULT_CUTOFF,
-             mode: str = "overwrite") -> None:
-    """``out_root/KIND=<daily|monthly>/PFX=/ID=/part-*``: one CSV per station and kind, one job."""
-    wide = scan_wide_station_file(spark, wide_root)
-    lines = writers.csv_lines(wd.agg_wide_by_ordinal_day(wide, cutoff, 2), "wide_daily", "daily").unionByName(
-        writers.csv_lines(wd.agg_wide_by_month(wide, cutoff, 2), "wide_monthly", "monthly")
-    )
+             mode: str = "overwrite", wide_monthly_root: str | None = None) -> None:
+    """``out_root/KIND=<daily|monthly>/PFX=/ID=/part-*``: one CSV per station and kind, one job.
+
+    The monthly kind comes from the monthly files (one row per station and
+    month) under ``wide_monthly_root``; without that root only the daily kind is written.
+    """
+    daily = wd.agg_wide_by_ordinal_day(scan_wide_station_file(spark, wide_root), cutoff, 2)
+    lines = writers.csv_lines(daily, "wide_daily", "daily")
+    if wide_monthly_root is not None:
+        monthly = wd.agg_wide_by_month(scan_wide_station_file(spark, wide_monthly_root), cutoff, 2)
+        lines = lines.unionByName(writers.csv_lines(monthly, "wide_monthly", "monthly"))
     writers.write_lines(lines, out_root.rstrip("/"), mode)

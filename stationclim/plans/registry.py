@@ -21,7 +21,7 @@ from ..operators import climatology as clim
 from ..operators import stations as st
 from ..operators import wide as wd
 from ..plans import jobs
-from ..schema import ELEMENTS, STATS
+from ..schema import ELEMENTS, HISTORY_COLUMNS, STATS
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import testviews as tv
@@ -61,10 +61,16 @@ def matched_stations(spark, sf_dir) -> DataFrame:
     return st.filter_station_prefix(stations(spark, sf_dir))
 
 
+def obs_and_nulls(spark, sf_dir) -> DataFrame:
+    """All observations, and those of stations whose values are all null."""
+    return obs(spark, sf_dir).unionByName(tv.t_null_obs(spark, sf_dir))
+
+
 def flagged_stations(spark, sf_dir) -> DataFrame:
-    """Matched stations with MISSING, observations of IDs ending in 7 removed."""
-    o = obs(spark, sf_dir).where(~F.col("ID").endswith("7"))
-    return st.flag_missing_from_presence(matched_stations(spark, sf_dir), clim.output_presence(o))
+    """Matched stations with MISSING; the listed stations without values have no monthly output, some no output at all."""
+    extra = parse_station_lines(tv.t_silent_station_lines(spark, sf_dir))
+    matched = matched_stations(spark, sf_dir).unionByName(st.filter_station_prefix(extra))
+    return st.flag_missing_from_presence(matched, clim.output_presence(obs_and_nulls(spark, sf_dir)))
 
 
 def day_summary(spark, sf_dir) -> DataFrame:
@@ -184,20 +190,23 @@ def q_sink_geojson(spark, sf_dir):
 
 @register("sink_mode")
 def q_sink_mode(spark, sf_dir):
-    """Overwrite, then a second write in ``ignore`` mode leaves the first output."""
+    """The matched stations are written, then all stations with other values in ``ignore`` mode.
+
+    What is there stays as it is; the stations that were not there are written.
+    """
     path = scratch_path(spark, "mode")
     monthly = clim.monthly_output(obs(spark, sf_dir))
-    writers.write_station_csv(monthly, path, "monthly", mode="overwrite")
-    writers.write_station_csv(monthly.where(F.lit(False)), path, "monthly", mode="ignore")
+    writers.write_station_csv(st.filter_station_prefix(monthly), path, "monthly", mode="overwrite")
+    altered = monthly.withColumn("TMAX_MAX", F.col("MONTH").cast("double"))
+    writers.write_station_csv(altered, path, "monthly", mode="ignore")
     return scan_output_csv(spark, path, "monthly")
 
 
 @register("sink_skip_empty")
 def q_sink_skip_empty(spark, sf_dir):
     """Station directories written for the monthly output (no empty stations)."""
-    o = obs(spark, sf_dir).where(~F.col("ID").endswith("7"))
     path = scratch_path(spark, "skip-empty")
-    writers.write_station_csv(clim.monthly_output(o), path, "monthly")
+    writers.write_station_csv(clim.monthly_output(obs_and_nulls(spark, sf_dir)), path, "monthly")
     return scan_output_csv(spark, path, "monthly").select("ID").distinct()
 
 
@@ -339,16 +348,17 @@ def q_agg_wide_by_ordinal_day(spark, sf_dir):
 
 @register("agg_wide_by_month")
 def q_agg_wide_by_month(spark, sf_dir):
-    return wd.agg_wide_by_month(tv.t_wide(spark, sf_dir), decimals=2)
+    return wd.agg_wide_by_month(tv.t_wide_monthly(spark, sf_dir), decimals=2)
 
 
 @register("agg_axis_bounds")
 def q_agg_axis_bounds(spark, sf_dir):
-    o = obs(spark, sf_dir)
+    hist = clim.day_histogram(obs(spark, sf_dir))  # one exchange, reused by the three charts
+    ym = clim.year_month_summary(clim.month_histogram_from_days(hist))
     parts = [
-        ("daily", ch.chart_daily_series(clim.daily_output(o))),
-        ("monthly", ch.chart_monthly_series(clim.monthly_output(o))),
-        ("history", ch.chart_history_series(clim.history_output(o))),
+        ("daily", ch.chart_daily_series(clim.assemble_daily(clim.year_day_summary(hist)))),
+        ("monthly", ch.chart_monthly_series(clim.assemble_monthly(ym))),
+        ("history", ch.chart_history_series(clim.assemble_history(ym))),
     ]
     out = None
     for name, series in parts:
@@ -361,12 +371,23 @@ def q_agg_axis_bounds(spark, sf_dir):
 
 @register("union_distinct_keys")
 def q_union_distinct_keys(spark, sf_dir):
-    dc = clim.daily_climatology_long(day_summary(spark, sf_dir))
-    keys = None
+    return clim.union_distinct_keys(clim.with_date_parts(clim.filter_from(obs(spark, sf_dir))))
+
+
+@register("rename_element_columns")
+def q_rename_element_columns(spark, sf_dir):
+    ym = month_summary(spark, sf_dir)
+    out = None
     for e in ELEMENTS:
-        k = dc.where(F.col("ELEMENT") == e).select("ID", "MONTH", "DAY_OF_MONTH")
-        keys = k if keys is None else keys.union(k)
-    return keys.distinct()
+        one = clim.rename_element_columns(ym, e)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+@register("existing_columns_only")
+def q_existing_columns_only(spark, sf_dir):
+    one = clim.rename_element_columns(month_summary(spark, sf_dir), "TMAX")
+    return clim.existing_columns_only(one, ["ID", *HISTORY_COLUMNS])
 
 
 def _combined(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -405,9 +426,16 @@ def q_assemble_history(spark, sf_dir):
 
 @register("assemble_all_stations")
 def q_assemble_all_stations(spark, sf_dir):
-    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir))
-    d = out.daily_summary.withColumn("monthly_history_rows", F.lit(None).cast("long"))
-    return d.withColumn("PERIOD", F.lit("daily")).unionByName(out.monthly_summary.withColumn("PERIOD", F.lit("monthly")))
+    """Every file of every matched station, as the job writes it: one row per line, without headers."""
+    out = jobs.station_outputs(obs(spark, sf_dir), stations(spark, sf_dir), materialize="table")
+    root = scratch_path(spark, "all-stations")
+    try:
+        jobs.write_station_outputs(out, root)
+    finally:
+        jobs.release(out)
+    lines = spark.read.schema("LINE string, KIND string, PFX string, ID string").text(root)
+    headers = [",".join(writers.COLUMNS[k]) for k in ("daily", "monthly", "history")]
+    return lines.where(~F.col("LINE").isin(headers)).select("KIND", "PFX", "ID", "LINE")
 
 
 @register("flag_missing")

@@ -70,9 +70,11 @@ def write_bucketed_table(df: DataFrame, name: str, key: str = "ID", buckets: int
     from ..session import scratch_path
 
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    n = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), most)
+    path = scratch_path(spark, name)
     table = f"stationclim_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").bucketBy(n, key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
     out = spark.table(table)
-    out._stationclim_table = table  # for release()
+    out._stationclim_table, out._stationclim_path = table, path  # for release()
     return out

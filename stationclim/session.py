@@ -67,3 +67,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stationclim-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` through the file system that it belongs to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

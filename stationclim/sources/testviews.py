@@ -136,3 +136,38 @@ def t_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TMAX_MAX",
         "PRCP_SUM",
     )
+
+
+def silent_station_id(regionkey: str = "r_regionkey") -> Column:
+    return F.concat(F.lit("CHM000"), F.lpad((F.col(regionkey) + 90000).cast("string"), 5, "0"))
+
+
+def t_silent_station_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One more station line per region, of a station without any value; the line ends after the name."""
+    k = F.col("r_regionkey")
+    return table(spark, sf_dir, "region").select(F.format_string(
+        "%-11s %8.4f %9.4f %6.1f    %-30s", silent_station_id(), k * 10.0 - 20.0, k * 20.0 - 40.0, F.lit(10.0), F.col("r_name")).alias("value"))
+
+
+def t_null_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each region with an even key one observation without a value; the other silent stations have none at all."""
+    k = F.col("r_regionkey")
+    days = F.when(k % 2 == 0, F.array(F.lit("1971-03-05").cast("date"))).otherwise(F.array().cast("array<date>"))
+    return table(spark, sf_dir, "region").select(
+        silent_station_id().alias("ID"), F.lit("TMIN").alias("ELEMENT"), F.explode(days).alias("DATE"),
+        F.lit(None).cast("long").alias("DATA_VALUE"))
+
+
+def t_wide_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide per-station monthly file: the summary of each month of ``t_obs`` with a value, dated the first of the month."""
+    from ..operators.climatology import month_histogram, year_month_summary
+
+    ym = year_month_summary(month_histogram(t_obs(spark, sf_dir), cutoff=None))
+    tenth = lambda e, c: F.when(F.col("ELEMENT") == e, F.col(c) / 10.0)
+    return ym.groupBy(F.col("ID").alias("STATION"), F.col("PERIOD_START").alias("DATE")).agg(
+        F.max(tenth("TMIN", "P10")).alias("TMIN_P10"),
+        F.max(tenth("TMAX", "P90")).alias("TMAX_P90"),
+        F.max(tenth("TMIN", "MIN")).alias("TMIN_MIN"),
+        F.max(tenth("TMAX", "MAX")).alias("TMAX_MAX"),
+        F.max(F.when(F.col("ELEMENT") == "PRCP", F.col("SUM").cast("double"))).alias("PRCP_SUM"),
+    )

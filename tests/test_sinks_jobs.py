@@ -110,12 +110,14 @@ def test_all_stations_job(spark, layout):
 def test_wide_job(spark, tmp_path):
     w = tv.t_wide(spark, SF_SMALL)
     w.write.partitionBy("STATION").parquet(str(tmp_path / "w"))
-    jobs.wide_job(spark, str(tmp_path / "w"), str(tmp_path / "o"))
+    m = tv.t_wide_monthly(spark, SF_SMALL)
+    m.write.partitionBy("STATION").parquet(str(tmp_path / "m"))
+    jobs.wide_job(spark, str(tmp_path / "w"), str(tmp_path / "o"), wide_monthly_root=str(tmp_path / "m"))
     files = glob.glob(str(tmp_path / "o" / "KIND=daily" / "PFX=*" / "ID=*" / "part-*"))
     assert files and open(files[0]).readline().strip().startswith("DAY,TMIN_P10")
     assert len(files) == w.select("STATION").distinct().count()  # one file per station
     back = scan_output_csv(spark, str(tmp_path / "o" / "KIND=monthly"), "monthly")
-    exp = wd.agg_wide_by_month(w, decimals=2)
+    exp = wd.agg_wide_by_month(m, decimals=2)
     assert back.exceptAll(exp).count() == 0 and exp.exceptAll(back).count() == 0
 
 
@@ -170,3 +172,34 @@ def test_ignore_mode_is_per_station(spark, tmp_path):
     writers.write_lines(spark.createDataFrame(again, schema), root, mode="ignore")
     got = spark.read.schema("value string, KIND string, PFX string, ID string").text(root).collect()
     assert {(r.KIND, r.ID, r.value) for r in got} == {("daily", "CHM1", "old"), ("monthly", "CHM1", "m"), ("daily", "007", "b")}
+
+
+def test_released_histogram_leaves_no_files(spark, layout, monkeypatch):
+    """Also after a write that fails."""
+    scratch = os.path.join(spark.sparkContext.getCheckpointDir().replace("file:", ""), "stationclim-scratch")
+    left = lambda: set(glob.glob(os.path.join(scratch, "day_histogram-*")))
+    before = left()
+    one = tv.t_obs(spark, SF_SMALL).select("ID").first().ID
+    jobs.selected_stations_job(spark, layout["merged"], [one], str(layout["root"] / "released"))
+    assert left() == before
+
+    def fail(*a, **k):
+        raise OSError("full")
+
+    monkeypatch.setattr(writers, "write_lines", fail)
+    with pytest.raises(OSError):
+        jobs.selected_stations_job(spark, layout["merged"], [one], str(layout["root"] / "failed"))
+    assert left() == before
+
+
+def test_bucket_count_keeps_the_limit(spark):
+    from stationclim.plans import sizing
+
+    assert int(sizing.scale_conf(100 << 40)["spark.sql.shuffle.partitions"]) > 100_000
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        out = sizing.write_bucketed_table(spark.range(10).selectExpr("cast(id as string) ID"), "limit")
+        assert out.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    spark.sql(f"DROP TABLE {out._stationclim_table}")

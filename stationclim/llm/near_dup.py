@@ -18,9 +18,11 @@ text costs little more than one point per shingle.
 
 Search.  Equal texts become one representative first.  ``BANDS`` bands of
 ``ROWS`` components give buckets; a pair at the threshold meets in at least
-one with probability 1 - (1 - 0.8^8)^48 > 0.9998.  In each bucket all members
-are verified against one hub.  Buckets whose members then still belong to
-several classes get new hubs, twice.  What is still open (dense groups just
+one with probability 1 - (1 - 0.8^8)^48 > 0.9998.  Each bucket has a hub.  A text
+is first verified against the least hub of its buckets, then, round by round,
+against one hub of each other class that its open buckets (those whose
+members belong to several classes) name; the later rounds take new hubs.
+What is still open (dense groups just
 below the threshold) is compared exactly in blocks: texts connected by open
 buckets are dealt into blocks of about ``BLOCK`` rows, one task compares two
 blocks by a product of their shingle matrices, and only links leave it.
@@ -50,7 +52,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 48
 ROWS = 8
-EXTRA_ROUNDS = 2
+EXTRA_ROUNDS = 3  # rounds of hubs after the first; the first of them keeps the buckets' first hubs
 BLOCK = 64
 COLUMNS = 8_192  # shingles of a block pair that are multiplied at once
 
@@ -277,8 +279,8 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
     hubs = materialise(every.groupBy("bucket").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n"))
                        .where(F.col("n") > 1).select("bucket", "hub"), "dup-hubs")
     members = materialise(every.join(hubs, "bucket"), "dup-buckets")
-    tested = materialise(members.where(F.col("rid") != F.col("hub")).select(
-        F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "dup-pairs")
+    tested = materialise(members.groupBy(F.col("rid").alias("b")).agg(F.min("hub").alias("a")).where(
+        F.col("a") != F.col("b")).select("a", "b"), "dup-pairs")
     links = verify(tested, rows, threshold, size)
     label = components(links)
 
@@ -287,11 +289,13 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
         if not members.head(1):
             break
         if i < EXTRA_ROUNDS:
+            order = F.col("rid") if i == 0 else F.xxhash64("rid", F.lit(i))  # one order for all buckets: few different hubs
             hub = materialise(members.groupBy("bucket").agg(
-                F.min(F.struct(F.xxhash64("rid", "bucket", F.lit(i)), "rid", "comp", "weight")).alias("h")).select(
+                F.min(F.struct(order.alias("o"), "rid", "comp", "weight")).alias("h")).select(
                 "bucket", F.col("h.rid").alias("y"), F.col("h.comp").alias("hc"), F.col("h.weight").alias("hw")), "dup-hubs")
             found = members.join(hub, "bucket").where((F.col("comp") != F.col("hc")) & near(F.col("weight"), F.col("hw")))
-            pairs = _new_pairs(found.select(F.col("rid").alias("x"), "y"), tested)
+            each = found.groupBy(F.col("rid").alias("x"), "hc").agg(F.min("y").alias("y"))
+            pairs = _new_pairs(each.select("x", "y"), tested)
             tested = tested.unionByName(pairs)
             more = verify(pairs, rows, threshold, size)
         else:

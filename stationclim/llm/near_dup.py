@@ -168,20 +168,49 @@ def verify(pairs: DataFrame, signed: DataFrame, threshold: float, size: int) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rid, comp) of all linked rows; comp is the smallest row id of the component."""
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-edges")
-    label = materialise(both.groupBy(F.col("a").alias("rid")).agg(F.min("b").alias("m")).select(
-        "rid", F.least("rid", "m").alias("comp")), "dup-labels")
-    while True:
-        near = both.join(label.select(F.col("rid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("comp").alias("m"))
-        step = label.join(near, "rid").select("rid", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        step = materialise(step, "dup-step")
-        # A label's own label is at least as small: paths shrink by half each round.
-        jump = step.select(F.col("rid").alias("comp"), F.col("comp").alias("root"))
-        after = materialise(step.join(jump, "comp").select("rid", F.col("root").alias("comp"), "old"), "dup-labels")
-        label = after.select("rid", "comp")
-        if not after.where(F.col("comp") != F.col("old")).head(1):
-            return label
+    """(rid, comp) of all linked rows; comp is the smallest row id of the component.
+
+    Contraction: every node goes to the node of least (random) priority next to
+    it, and on to that one's; links between the nodes that remain are the next
+    round's.  Links inside what has been joined are gone, so the rounds together
+    cost little more than the first.  Then the rounds' steps are put together,
+    from the last to the first.
+    """
+    edges = materialise(links.where(F.col("a") != F.col("b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dup-edges")
+    steps = []
+    while edges.head(1):
+        turn = F.lit(len(steps))
+        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(c, turn).alias("p"), F.col(c).alias("id"))
+        near = sides.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), "m")["id"].alias("up"))
+        near = materialise(near, "dup-near")
+        over = near.select(F.col("a").alias("up"), F.col("up").alias("to"))
+        step = materialise(near.join(over, "up").select("a", "to"), "dup-step")
+        steps.append(step)
+        edges = materialise(
+            edges.join(step, "a").select("b", F.col("to").alias("x"))
+            .join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where(F.col("x") != F.col("y"))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dup-edges")
+    if not steps:
+        return edges.select(F.col("a").alias("rid"), F.col("b").alias("comp"))
+    found = steps.pop()
+    while steps:
+        later = found.select(F.col("a").alias("to"), F.col("to").alias("root"))
+        found = materialise(steps.pop().join(later, "to", "left").select("a", F.coalesce("root", "to").alias("to")), "dup-roots")
+    least = materialise(found.groupBy("to").agg(F.min("a").alias("comp")), "dup-least")
+    return materialise(found.join(least, "to").select(F.col("a").alias("rid"), "comp"), "dup-labels")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after more links: only links between different components are looked at."""
+    ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).distinct()
+    known = materialise(ends.join(label, "rid", "left").select("rid", F.coalesce("comp", "rid").alias("comp"), F.col("comp").isNull().alias("added")), "dup-ends")
+    side = lambda c, to: known.select(F.col("rid").alias(c), F.col("comp").alias(to))
+    joined = components(links.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    every = label.unionByName(known.where("added").select("rid", "comp"))
+    return materialise(every.join(joined.select(F.col("rid").alias("comp"), F.col("comp").alias("root")), "comp", "left").select(
+        "rid", F.coalesce("root", "comp").alias("comp")), "dup-labels")
 
 
 def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
@@ -279,8 +308,7 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
     members = materialise(every.join(hubs, "bucket"), "dup-buckets")
     tested = materialise(members.where(F.col("rid") != F.col("hub")).select(
         F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "dup-pairs")
-    links = verify(tested, rows, threshold, size)
-    label = components(links)
+    label = components(verify(tested, rows, threshold, size))
 
     for i in range(EXTRA_ROUNDS + 1):
         members = _open_buckets(members, label)
@@ -297,8 +325,7 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
         else:
             more = _compare_blocks(members, rows, threshold, size)
         if more.head(1):
-            links = links.unionByName(more)
-            label = components(links)
+            label = _merged(label, more)
 
     by_text = materialise(reps.join(label, reps["rep"] == label["rid"], "left").select(
         "digest", F.coalesce("comp", "rep").alias("class_id")), "dup-classes")

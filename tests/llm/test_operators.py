@@ -403,3 +403,35 @@ def test_empty_tables(spark):
                token_counts.token_counts(docs), quality_rules.robust_outliers(docs), quality_rules.keep_inliers(docs), packing.pack(docs),
                chat.digest(chat.windows(table(spark, SF, "conversations").limit(0)))):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("split", [1.0, 0.5])
+def test_components_against_union_find(spark, split):
+    """Paths, a star, repeated, reversed and self links; all at once, or the second half merged into the first."""
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(900, i) for i in range(200, 240)] + [(7, 7), (5, 6), (6, 5), (5, 6)]
+    links += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(110)]
+    rng.shuffle(links)
+    root = {x: x for pair in links for x in pair}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    cut = int(len(links) * split)
+    frame = lambda part: spark.createDataFrame(part, "a bigint, b bigint")
+    label = near_dup.components(frame(links[:cut]))
+    if cut < len(links):
+        label = near_dup._merged(label, frame(links[cut:]))
+    got = label.collect()
+    found = {r.rid: r.comp for r in got}
+    assert len(got) == len(found)
+    assert {x: found.get(x, x) for x in root} == {x: top(x) for x in root}
+
+
+def test_components_without_links(spark):
+    assert near_dup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

@@ -5,9 +5,9 @@ already in degrees.  Grouping is by the *ordinal* day of the year, so in
 normal years March 1 shares day 60 with February 29 of leap years.
 
 The inputs are arbitrary doubles, so a plain ``avg`` would depend on the
-order rows meet in each task.  Values are therefore quantised to
-``VALUE_SCALE`` decimals and summed as decimals: the result is exact and the
-same for any partitioning.  With ``decimals`` set, results are rounded half
+order rows meet in each task.  Values are therefore summed as decimals of
+their shortest text with ``VALUE_SCALE`` places, more than a double of 1 or
+above can show: the result is exact and the same for any partitioning.  With ``decimals`` set, results are rounded half
 to even in decimal arithmetic (what the CSV output shows).
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import day_of_month, month_of, ordinal_day, since
 from ..schema import DEFAULT_CUTOFF, WIDE_DAILY_COLUMNS, WIDE_MONTHLY_COLUMNS
 
-VALUE_SCALE = 6
+VALUE_SCALE = 16
 _DEC = f"decimal(38,{VALUE_SCALE})"
 
 

@@ -114,6 +114,16 @@ def test_t8_ordinal_day_shares_feb29_and_mar1(spark):
     assert (r.DAY, r.TMIN_P10, r.TMIN_MIN, r.TMAX_MAX, r.PRCP_SUM, r.MONTH, r.DAY_OF_MONTH) == (60, 2.0, 1.0, 4.0, 0.5, 3, 1)
 
 
+def test_wide_means_keep_all_decimals(spark):
+    values = [1.23456789012, 7.65432109876, 123456.789012345, -1e-7]
+    rows = [("S1", dt.date(2001, 1, 1), *[v] * 5) for v in values]
+    w = spark.createDataFrame(rows, "STATION string, DATE date, TMIN_P10 double, TMAX_P90 double, "
+                                    "TMIN_MIN double, TMAX_MAX double, PRCP_SUM double")
+    for r in (wd.agg_wide_by_ordinal_day(w).first(), wd.agg_wide_by_month(w).first()):
+        assert r.TMIN_P10 == r.TMAX_P90 == r.PRCP_SUM == pytest.approx(sum(values) / 4, rel=1e-15)
+        assert (r.TMIN_MIN, r.TMAX_MAX) == (-1e-7, 123456.789012345)
+
+
 def test_t9_missing_element_gives_nulls_not_dropped_rows(spark):
     o = obs_frame(spark, [("S1", "PRCP", "1980-05-01", 3), ("S1", "TMIN", "1980-06-01", 10)])
     m = {r.MONTH: r for r in clim.monthly_output(o).collect()}

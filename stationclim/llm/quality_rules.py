@@ -22,8 +22,10 @@ Defined results
 * groups with fewer than ``MIN_GROUP`` texts that passed are pooled by
   language, small languages with one another; where even that pool is small
   the base rules alone decide.
-* a statistic that hardly varies in a group: ``FLOOR`` bounds its scale from
-  below, so that no scatter is singular.
+* a statistic that hardly varies in a group: ``FLOOR``, some units of rounding,
+  keeps the steps' scatter regular; in the verdict ``LEAST`` bounds each
+  statistic's scale from below.  The bound replaces a smaller variance and is
+  not added to a larger one, and each statistic can reject a text alone.
 * ties: a bin is kept or left whole.
 """
 
@@ -46,13 +48,15 @@ SPACES = " \t\n\x0b\x0c\r"
 
 UNIT = 1024             # vectors are integers in 1/UNIT
 DIM = 6
-# Least scale of each statistic (natural-log units): words, word length, symbols, repeated lines, repeated words, capitals.
-FLOOR = (0.5, 0.08, 0.6, 1.0, 0.8, 0.4)
+FLOOR = (1 / 64,) * DIM  # keeps the scatter of a concentration step regular
+# Least scale of each statistic in the verdict (natural-log units): words, word length, symbols, repeated lines, repeated
+# words, capitals.  One repeated line or phrase in an ordinary text must not reject it where most texts have none.
+LEAST = (0.2, 0.05, 0.35, 0.85, 0.75, 0.15)
 SUPPORT = 0.75          # share of a group's rows that the MCD covers
 STEPS = 3               # concentration steps
 BINS = 16               # distance bins per unit of ln(1 + d^2)
 MIN_GROUP = 100
-TAIL_Z = 4.75           # normal quantile of the rejection tail, about 1e-6
+TAIL_Z = 3.09           # normal quantile of the rejection tail, 0.999
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
@@ -147,6 +151,28 @@ def _solve(rows):
         yield pd.DataFrame(out, columns=["pool", "mean", "inv"])
 
 
+def _bounded(rows):
+    """Centre, inverse scatter and median distance of a pool -> the same centre, inverse scatter of the verdict.
+
+    The scatter of a part of the rows is made consistent by the median
+    distance; statistics without scatter have no share in that.  Then every
+    variance is at least that of ``LEAST``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    added, least = ((np.array(v) * UNIT) ** 2 for v in (FLOOR, LEAST))
+    for f in rows:
+        out = []
+        for r in f.itertuples(index=False):
+            cov = np.linalg.inv(np.array(r.inv).reshape(DIM, DIM))
+            vary = max(1, int((np.diag(cov) > 2 * added).sum()))
+            cov *= max(1.0, r.mid / chi2_quantile(0.0, vary))
+            cov += np.diag(np.maximum(0.0, least - np.diag(cov)))
+            out.append((r.pool, list(r.mean), np.linalg.inv(cov).ravel().tolist()))
+        yield pd.DataFrame(out, columns=["pool", "mean", "inv"])
+
+
 PARAMS = "pool string, mean array<double>, inv array<double>"
 
 
@@ -213,11 +239,10 @@ def chi2_quantile(z: float, p: int = DIM) -> float:
 
 
 def estimate(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """MCD per group: (g, mean, inv, scale), written to the scratch folder.
+    """MCD per group: (g, mean, inv), written to the scratch folder.
 
-    ``vectors``: (g, l, x) of the rows that passed the base rules.  ``scale``
-    makes the median distance that of a chi-squared variable; it is null
-    where a group's pool is too small.
+    ``vectors``: (g, l, x) of the rows that passed the base rules.  ``mean``
+    and ``inv`` are null where a group's pool is too small.
     """
     pools = materialise(_pools(vectors, min_group), "mcd-pools")
     side, _ = broadcast_if_small(pools, 100_000)
@@ -226,9 +251,10 @@ def estimate(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     for i in range(STEPS):
         params = materialise(_step(pooled, params), f"mcd-step{i}")
     bins = _distance_bins(pooled, params, False)
-    scale = (bins.where(F.col("before") + F.col("k") >= 0.5 * F.col("total")).groupBy("pool")
-             .agg((F.expr(f"exp((min(b) + 0.5) / {BINS}) - 1") / chi2_quantile(0.0)).alias("scale")))
-    out = pools.join(params, "pool", "left").join(scale, "pool", "left").select("g", "mean", "inv", "scale")
+    mid = (bins.where(F.col("before") + F.col("k") >= 0.5 * F.col("total")).groupBy("pool")
+           .agg(F.expr(f"exp((min(b) + 0.5) / {BINS}) - 1").alias("mid")))
+    bounded = params.join(mid, "pool").select("pool", "mean", "inv", "mid").mapInPandas(_bounded, PARAMS)
+    out = pools.join(bounded, "pool", "left").select("g", "mean", "inv")
     return materialise(out, "mcd-params")
 
 
@@ -237,7 +263,7 @@ def _judged(stats: DataFrame, c: dict[str, str], params: DataFrame, extra: list[
     side, _ = broadcast_if_small(params.withColumnsRenamed({k: f"__mcd_{k}" for k in params.columns}), 100_000)
     x = vector(c)
     failed, dist, kept = extra
-    d2 = _distance(x, F.col("__mcd_mean"), F.col("__mcd_inv")) / F.greatest(F.col("__mcd_scale"), F.lit(1.0))
+    d2 = _distance(x, F.col("__mcd_mean"), F.col("__mcd_inv"))
     return (stats.join(side, F.col("__g") == F.col("__mcd_g"), "left")
             .withColumn(failed, base_failed(c)).withColumn(dist, d2)
             .withColumn(kept, ~F.col(failed) & F.coalesce(F.col(dist) <= chi2_quantile(TAIL_Z), F.lit(True))))

@@ -328,6 +328,36 @@ def test_mcd_step_against_numpy(spark):
     assert np.allclose(got.mean, inside.mean(0)) and np.allclose(np.array(got.inv).reshape(6, 6), np.linalg.inv(cov))
 
 
+def quality_doc(rng, lines=16, upper=0):
+    """An ordinary text: no symbols, no repeated line, hardly a repeated window."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9)))
+    return "\n".join(" ".join([word().capitalize(), *[word() for _ in range(rng.randint(7, 12))]]) for _ in range(rng.randint(lines - 6, lines + 6)))
+
+
+def test_each_statistic_rejects_alone(spark):
+    """One planted outlier of each statistic in each (lang, source)."""
+    rng = random.Random(8)
+    rows, planted = [], {}
+    for g, (lang, source) in enumerate([("en", "a"), ("en", "b"), ("de", "a")]):
+        rows += [(1000 * g + i, quality_doc(rng), lang, source, 0) for i in range(150)]
+        plain = quality_doc(rng).split("\n")
+        words = " ".join(plain).split()
+        repeated_lines = rng.sample(words, 14) * 6
+        rng.shuffle(repeated_lines)
+        odd = {"words": " ".join(quality_doc(rng).replace("\n", " ") for _ in range(200)), "length": " ".join(w + "xyz" * 4 for w in words),
+               "symbols": "\n".join(plain) + " #" * (len(words) // 8), "lines": "\n".join([*plain, *repeated_lines]),
+               "repeated": "\n".join([*plain, " ".join(words[:len(words) // 4])]),
+               "capitals": "\n".join(plain).upper()}
+        for k, (name, text) in enumerate(odd.items()):
+            planted[1000 * g + 900 + k] = name
+            rows.append((1000 * g + 900 + k, text, lang, source, 0))
+    got = {r.doc_id: r for r in quality_rules.robust_outliers(
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert not any(got[i].base_failed for i in planted)
+    assert [planted[i] for i in planted if got[i].kept] == []
+    assert sum(got[r[0]].kept for r in rows if r[0] not in planted) >= 0.95 * 450
+
+
 # ------------------------------------------------------------------ 9 chat
 
 def test_chat_round_trip(spark):

@@ -6,10 +6,13 @@ minimum-covariance-determinant (MCD) estimate of centre and scatter is made
 for every (lang, source).  A text whose Mahalanobis distance from its group's
 centre is too large is rejected.
 
-The MCD runs as Spark aggregates.  It starts at coordinatewise medians and
-quartile ranges.  Each concentration step bins the distances, keeps per group
-the least set of whole bins that holds ``support`` of the rows, and takes that
-set's mean and covariance; one ``groupBy(group, bin)`` gives both.  No group
+The MCD runs as Spark aggregates over a group's distinct vectors, so that a
+text that is copied counts once; every row is judged.  It starts at
+coordinatewise medians and median deviations.  Each concentration step bins
+the distances, keeps per group the least set of whole bins that holds the
+half-set (n + p + 1) / 2, and takes that set's mean and covariance; one
+``groupBy(group, bin)`` gives both.  So nearly half of a group's distinct
+vectors may lie anywhere without carrying the estimate away.  No group
 is ever gathered: what leaves the map side is at most a few hundred bins a
 group.  Vectors are integers (1/1024 units), so that sums do not depend on
 the order of the rows.
@@ -18,8 +21,8 @@ Defined results
 ---------------
 * null text: no words, ``n_words`` 0, base rule fails, not kept.
 * null ``lang`` or ``source``: a value of its own.
-* repeated rows: each counts and is answered.
-* groups with fewer than ``MIN_GROUP`` texts that passed are pooled by
+* repeated rows: one vector of the estimate; each is answered.
+* groups with fewer than ``MIN_GROUP`` vectors that passed are pooled by
   language, small languages with one another; where even that pool is small
   the base rules alone decide.
 * a statistic that hardly varies in a group: ``FLOOR``, some units of rounding,
@@ -51,8 +54,8 @@ DIM = 6
 FLOOR = (1 / 64,) * DIM  # keeps the scatter of a concentration step regular
 # Least scale of each statistic in the verdict (natural-log units): words, word length, symbols, repeated lines, repeated
 # words, capitals.  One repeated line or phrase in an ordinary text must not reject it where most texts have none.
-LEAST = (0.2, 0.05, 0.35, 0.85, 0.75, 0.15)
-SUPPORT = 0.75          # share of a group's rows that the MCD covers
+LEAST = (0.2, 0.05, 0.35, 0.85, 0.8, 0.2)
+SUPPORT = 0.5           # the MCD covers this share of a group's vectors and of DIM + 1 more
 STEPS = 3               # concentration steps
 BINS = 16               # distance bins per unit of ln(1 + d^2)
 MIN_GROUP = 100
@@ -193,18 +196,21 @@ def _with_distance(vectors: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and quartile ranges from exact histograms with bins of 1/32."""
+    """Medians and median absolute deviations from exact histograms with bins of 1/32."""
     step = UNIT // 32
-    cells = (vectors.select("pool", F.posexplode("x").alias("j", "v"))
-             .groupBy("pool", "j", F.floor(F.col("v") / step).alias("b")).agg(F.count(F.lit(1)).alias("k")))
-    cum = cells.select(
-        "pool", "j", "b",
-        F.expr("sum(k) over (partition by pool, j order by b)").alias("c"),
-        F.expr("sum(k) over (partition by pool, j)").alias("n"))
-    q = [F.min(F.when(F.col("c") >= p * F.col("n"), (F.col("b") + 0.5) * step)).alias(a)
-         for p, a in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi"))]
-    by = cum.groupBy("pool", "j").agg(*q)
-    scale = (F.col("hi") - F.col("lo")) / 1.349
+    cells = materialise(vectors.select("pool", F.posexplode("x").alias("j", "v"))
+                        .groupBy("pool", "j", F.floor(F.col("v") / step).alias("b")).agg(F.count(F.lit(1)).alias("k")), "mcd-cells")
+
+    def medians(of: DataFrame, value: str) -> DataFrame:
+        cum = of.select("pool", "j", value,
+                        F.expr(f"sum(k) over (partition by pool, j order by {value})").alias("c"),
+                        F.expr("sum(k) over (partition by pool, j)").alias("n"))
+        return cum.groupBy("pool", "j").agg(F.min(F.when(F.col("c") >= 0.5 * F.col("n"), F.col(value))).alias("m"))
+
+    mid = medians(cells, "b")
+    away = medians(cells.join(mid, ["pool", "j"]).withColumn("d", F.abs(F.col("b") - F.col("m"))), "d").withColumnRenamed("m", "away")
+    by = mid.join(away, ["pool", "j"]).withColumn("mid", (F.col("m") + 0.5) * step)
+    scale = F.col("away") * step * 1.4826
     floor = F.element_at(F.array(*[F.lit(v * UNIT) for v in FLOOR]), F.col("j") + 1)
     by = by.select("pool", "j", "mid", (1.0 / (scale * scale + floor * floor)).alias("w"))
     wide = by.groupBy("pool").agg(*[F.max(F.when(F.col("j") == i, F.col(c))).alias(f"{c}{i}")
@@ -227,7 +233,7 @@ def _distance_bins(vectors: DataFrame, params: DataFrame, moments: bool) -> Data
 
 
 def _step(vectors: DataFrame, params: DataFrame) -> DataFrame:
-    inside = _distance_bins(vectors, params, True).where(F.col("before") < SUPPORT * F.col("total"))
+    inside = _distance_bins(vectors, params, True).where(F.col("before") < SUPPORT * (F.col("total") + DIM + 1))
     names = [f"s{i}" for i in range(DIM)] + [f"q{i}_{j}" for i in range(DIM) for j in range(i + 1)]
     sums = inside.groupBy("pool").agg(F.sum("k").alias("n"), *[F.sum(c).alias(c) for c in names])
     return sums.mapInPandas(_solve, PARAMS)
@@ -244,6 +250,7 @@ def estimate(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     ``vectors``: (g, l, x) of the rows that passed the base rules.  ``mean``
     and ``inv`` are null where a group's pool is too small.
     """
+    vectors = materialise(vectors.distinct(), "mcd-vectors")
     pools = materialise(_pools(vectors, min_group), "mcd-pools")
     side, _ = broadcast_if_small(pools, 100_000)
     pooled = vectors.join(side, "g").where(F.col("pool").isNotNull()).select("pool", "x")

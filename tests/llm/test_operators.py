@@ -346,7 +346,7 @@ def test_each_statistic_rejects_alone(spark):
         rng.shuffle(repeated_lines)
         odd = {"words": " ".join(quality_doc(rng).replace("\n", " ") for _ in range(200)), "length": " ".join(w + "xyz" * 4 for w in words),
                "symbols": "\n".join(plain) + " #" * (len(words) // 8), "lines": "\n".join([*plain, *repeated_lines]),
-               "repeated": "\n".join([*plain, " ".join(words[:len(words) // 4])]),
+               "repeated": "\n".join([*plain, " ".join(words[:int(0.31 * len(words))])]),
                "capitals": "\n".join(plain).upper()}
         for k, (name, text) in enumerate(odd.items()):
             planted[1000 * g + 900 + k] = name
@@ -358,6 +358,19 @@ def test_each_statistic_rejects_alone(spark):
     assert sum(got[r[0]].kept for r in rows if r[0] not in planted) >= 0.95 * 450
 
 
+def test_outliers_that_are_many(spark):
+    """A third of a group is one copied junk text, or distinct junk texts: all of it is rejected."""
+    rng = random.Random(9)
+    junk = lambda: quality_doc(rng).replace(" ", " #")
+    copied = junk()
+    rows = [(i, quality_doc(rng), "en", "copies", 0) for i in range(200)] + [(1000 + i, copied, "en", "copies", 0) for i in range(100)]
+    rows += [(2000 + i, quality_doc(rng), "en", "distinct", 0) for i in range(200)] + [(3000 + i, junk(), "en", "distinct", 0) for i in range(100)]
+    got = quality_rules.robust_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()
+    bad = [r for r in got if r.doc_id % 2000 >= 1000]
+    assert len(got) == 600 and not any(r.base_failed or r.kept for r in bad)
+    assert sum(r.kept for r in got) >= 0.95 * 400
+
+
 # ------------------------------------------------------------------ 9 chat
 
 def test_chat_round_trip(spark):

@@ -6,25 +6,35 @@ blank.  The SHA-256 of the canonical form is hash-joined with the digests of
 known licences.  The join is on the digest of an *entire* text, never on
 parts of it; a licence that differs in one word is not found.
 
-Two kinds of entire text are looked up: the whole document, and every line of
+Three kinds of entire text are looked up: the whole document, every line of
 it (a notice such as "Released under the MIT License." stands on a line of
-its own).  The table of known texts is an argument; ``KNOWN`` holds common
-notices and short licences.
+its own), and every run of whole blocks between blank lines that is as long
+as a known text (the header above some code).  The table of known texts is an
+argument; ``KNOWN`` holds common notices and the licences in
+``known_licences/``, as wrapped there and with one line a paragraph.
 
-Spark expressions only.  Digests of lines are joined against a table whose
-size is checked before it is broadcast; a line whose canonical length is that
-of no known text is dropped before it is hashed.
+Spark expressions, and Arrow for the runs of blocks.  Digests are joined
+against a table whose size is checked before it is broadcast; a line or run
+whose canonical length is that of no known text is dropped before it is hashed.
 
 Defined results: null and empty texts have an empty canonical form, which is
-no licence; repeated rows are each answered; a line found twice counts twice;
+no licence; repeated rows are each answered; a line or run found twice counts
+twice; a run of one line counts as a line, a run inside a longer known one or
+in a document that is a known text as a whole does not count;
 of several names for one canonical form the smallest is reported; an empty
 table of known texts finds nothing; extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.sizing import broadcast_if_small
 
@@ -63,7 +73,28 @@ compliance with the License. You may obtain a copy of the License at http://www.
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
+
+
+def _forms(name: str, body: str, *titles: str) -> list[tuple[str, str]]:
+    """A licence's text as wrapped and with one line a paragraph, numbered or with bullets, bare or under each title."""
+    flat = "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", body))
+    listed = [x for b in (body, flat) for x in (b, re.sub(r"(?m)^[ ]*\d\. ", "* ", b) if name.startswith("BSD") else b)]
+    return [(name, (t + "\n\n" if t else "") + b) for b in dict.fromkeys(listed) for t in ("", *titles)]
+
+
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense",),
+}
+_TEXTS = [x for f in sorted((Path(__file__).parent / "known_licences").glob("*.txt"))
+          for x in _forms(f.stem, f.read_text("utf-8"), *_TITLES.get(f.stem, ()))]
 KNOWN = (
+    *_TEXTS,
+    *_forms("ISC", _ISC_BODY, *_TITLES["ISC"]),
+    *_forms("Apache-2.0", _APACHE_NOTICE),
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", "The MIT License\n\n" + _MIT_BODY),
@@ -135,15 +166,62 @@ def known_texts(spark: SparkSession, known=KNOWN) -> DataFrame:
             .agg(F.min("id").alias("license_id"), F.max(F.length("c")).alias("canonical_length")))
 
 
+def _block_runs(text: str, lengths: list[int]) -> list[tuple[int, int, str]]:
+    """(first block, last block, digest) of the runs of blocks of canonical lines that are as long as a known text.
+
+    Neither the whole text nor a single line, which are looked up as such.
+    """
+    blocks = [b for b in re.split("\n\n+", text.strip("\n")) if b]
+    forms = []
+    for b in blocks:
+        c = f" {b.replace(chr(10), ' ')} "
+        for old, new in _PHRASES:
+            c = c.replace(f" {old} ", f" {new} ")
+        forms.append(c.strip(" "))
+    joined = " ".join(forms)
+    at, begin, end = 0, [], {}
+    for i, c in enumerate(forms):
+        begin.append(at)
+        end[at + len(c)] = i
+        at += len(c) + 1
+    out = []
+    for i, o in enumerate(begin):
+        for n in lengths:
+            if o + n > len(joined):
+                break
+            j = end.get(o + n)
+            if j is not None and n < len(joined) and (i < j or "\n" in blocks[i]):
+                out.append((i, j, hashlib.sha256(joined[o:o + n].encode("utf-8", "surrogatepass")).hexdigest()))
+    return out
+
+
+def _with_runs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """``df`` with the runs of its column ``blocks`` in that column's place."""
+    run_type = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+                                         T.StructField("digest", T.StringType())]))
+    kept = [c for c in df.columns if c != "blocks"]
+    arrow = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("digest", pa.string())]))
+
+    def run(batches):
+        for b in batches:
+            runs = [[dict(zip(("i", "j", "digest"), x)) for x in _block_runs(t.as_py(), lengths)] for t in b.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(runs, arrow)], names=[*kept, "runs"])
+
+    return df.select(*kept, "blocks").mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField("runs", run_type)]))
+
+
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per document: doc_id, text_digest, license_id (the whole text; null if unknown), n_notices, notice_ids.
 
-    Lines are looked up inside the row: the known digests become one map
-    column while their number is within the broadcast bound (checked), so that
-    no line is shuffled.  A larger table is joined line by line.
+    Lines and runs of blocks are looked up inside the row: the known digests
+    become one map column while their number is within the broadcast bound
+    (checked), so that no line is shuffled.  A larger table is joined line by
+    line and run by run.
     """
     base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    base = base.select("doc_id", "lines", F.sha2(whole_form(F.col("lines")), 256).alias("text_digest"))
+    base = base.select("doc_id", "lines", F.array_join("lines", "\n").alias("blocks"),
+                       F.sha2(whole_form(F.col("lines")), 256).alias("text_digest"))
+    lens = sorted(r[0] for r in known.select("canonical_length").distinct().collect())
     side, small = broadcast_if_small(known, 10_000)
     whole = side.select(F.col("digest").alias("text_digest"), "license_id")
     if small:
@@ -151,8 +229,12 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
                           F.collect_set("canonical_length").alias("lengths"))
         lines = F.filter(F.transform("lines", _phrased), lambda x: F.array_contains("lengths", F.length(x)))
         found = F.filter(F.transform(lines, lambda x: F.try_element_at("by_digest", F.sha2(x, 256))), lambda x: x.isNotNull())
-        with_lines = base.join(F.broadcast(table), F.lit(True), "left").select("doc_id", "text_digest", found.alias("f"))
-        with_lines = with_lines.withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
+        with_lines = base.join(F.broadcast(table), F.lit(True), "left").select("doc_id", "text_digest", "blocks", found.alias("f"))
+        with_lines = _with_runs(with_lines.withColumn("f", F.coalesce("f", F.array().cast("array<string>"))), lens)
+        with_lines = with_lines.join(F.broadcast(table.select("by_digest")), F.lit(True), "left").select(
+            "doc_id", "text_digest", "f", F.filter(F.transform("runs", lambda x: F.struct(
+                x["i"].alias("i"), x["j"].alias("j"), F.try_element_at("by_digest", x["digest"]).alias("id"))),
+                lambda x: x["id"].isNotNull()).alias("runs"))
     else:
         rid = base.withColumn("rid", F.monotonically_increasing_id())
         lengths = known.select("canonical_length").distinct()
@@ -160,9 +242,17 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
         lines = lines.join(lengths, F.length("c") == F.col("canonical_length"), "left_semi")
         hit = (lines.select("rid", F.sha2("c", 256).alias("digest")).join(known, "digest")
                .groupBy("rid").agg(F.collect_list("license_id").alias("f")))
-        with_lines = rid.drop("lines").join(hit, "rid", "left").select(
-            "doc_id", "text_digest", F.coalesce("f", F.array().cast("array<string>")).alias("f"))
-    return with_lines.join(whole, "text_digest", "left").select(
+        runs = (_with_runs(rid.select("rid", "blocks"), lens).select("rid", F.explode("runs").alias("r"))
+                .select("rid", "r.i", "r.j", "r.digest").join(known, "digest")
+                .groupBy("rid").agg(F.collect_list(F.struct("i", "j", F.col("license_id").alias("id"))).alias("runs")))
+        with_lines = rid.drop("lines", "blocks").join(hit, "rid", "left").join(runs, "rid", "left").select(
+            "doc_id", "text_digest", F.coalesce("f", F.array().cast("array<string>")).alias("f"), "runs")
+    longest = F.filter("runs", lambda x: ~F.exists("runs", lambda y: (y["i"] <= x["i"]) & (y["j"] >= x["j"]) & (
+        y["j"] - y["i"] > x["j"] - x["i"])))
+    inside = F.when(F.col("license_id").isNull(), F.transform(longest, lambda x: x["id"]))
+    out = with_lines.join(whole, "text_digest", "left").withColumn(
+        "f", F.concat("f", F.coalesce(inside, F.array().cast("array<string>"))))
+    return out.select(
         "doc_id", "text_digest", "license_id", F.size("f").cast("long").alias("n_notices"),
         F.concat_ws(",", F.array_sort(F.array_distinct("f"))).alias("notice_ids"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts
+from . import (
+    chat, decontaminate, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts, whitening)
 from .common import table
 
 
@@ -49,9 +50,13 @@ def op10_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op5_attention_lm, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
-    op9_budgeted_windows, op10_conflict_best_fit)}
+    op9_budgeted_windows, op10_conflict_best_fit, op13_feast_whitening)}
 
 
 def oracles() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat, decontaminate, filter_audit, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts, whitening)
+    chat, decontaminate, filter_audit, language_id, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts, whitening)
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 def op12_posting_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op5_attention_lm, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
     op9_budgeted_windows, op10_conflict_best_fit,
-    op12_posting_audit, op13_feast_whitening)}
+    op11_subword_language, op12_posting_audit, op13_feast_whitening)}
 
 
 def oracles() -> dict[str, str]:

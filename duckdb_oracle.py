@@ -24,6 +24,19 @@ t_obs AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
 )"""
 
+T_OBS_AND_SEASONAL = T_OBS.replace("t_obs AS (", "all_year AS (") + """,
+seasonal AS (
+  SELECT 'CHM000' || CAST(70000 + o_custkey % 11 AS VARCHAR) AS ID, o_custkey % 11 AS k, o_orderkey % 300 AS v,
+    CAST(CAST(o_orderdate AS DATE) - INTERVAL 28 YEAR AS DATE) AS DATE
+  FROM orders
+),
+t_obs AS (
+  SELECT * FROM all_year
+  UNION ALL SELECT ID, 'TMIN', DATE, v FROM seasonal WHERE (month(DATE) * (k + 2)) % 5 < 2
+  UNION ALL SELECT ID, 'TMAX', DATE, v + 10 FROM seasonal WHERE (month(DATE) * (k + 2)) % 5 < 2
+  UNION ALL SELECT ID, 'PRCP', DATE, v + 20 FROM seasonal WHERE (month(DATE) * (k + 2)) % 5 < 2
+)"""
+
 # Per (ID, ELEMENT, YEAR, MONTH, DAY): nearest-rank P10/P90 by row_number.
 def year_day(name: str = "yd", where: str = "WHERE DATE >= DATE '1970-01-01'") -> str:
     return f"""
@@ -238,27 +251,21 @@ wide_month AS (
 )"""
 
 
-def _micro(c: str) -> str:
-    """Value in millionths as an exact integer."""
-    return f"CAST(CAST(round({c}, 6) AS DECIMAL(38,6)) * 1000000 AS HUGEINT)"
-
-
-def half_even_hundredths(num: str, den: str) -> str:
-    """round_half_even(num / den) / 100 with exact integer arithmetic (den > 0)."""
-    r = f"(((({num}) % ({den})) + ({den})) % ({den}))"
-    q = f"((({num}) - {r}) // ({den}))"
-    return (
-        f"CASE WHEN ({den}) IS NULL OR ({num}) IS NULL THEN NULL ELSE CAST(CASE WHEN 2 * {r} > ({den}) "
-        f"OR (2 * {r} = ({den}) AND {q} % 2 <> 0) THEN {q} + 1 ELSE {q} END AS DOUBLE) / 100.0::DOUBLE END"
-    )
+def shown(x: str) -> str:
+    """The double that printing ``x`` with two decimals shows."""
+    return f"CAST(CASE WHEN ({x}) IS NULL THEN NULL ELSE printf('%.2f', {x}) END AS DOUBLE)"
 
 
 def exact_avg2(c: str) -> str:
-    return half_even_hundredths(f"sum({_micro(c)})", f"CASE WHEN count({c}) = 0 THEN NULL ELSE count({c}) * 10000 END")
+    """Mean from an exact integer sum in units of 2^-60 (the fixture's values are larger than 2^-8 or zero), rounded once."""
+    units = f"sum(CAST({c} * 1152921504606846976.0::DOUBLE AS HUGEINT))"
+    cut = "1099511627776"  # 2^40: the sum in two parts that a double holds exactly
+    total = f"(CAST({units} // {cut} AS DOUBLE) * {cut}.0::DOUBLE + CAST({units} % {cut} AS DOUBLE)) / 1152921504606846976.0::DOUBLE"
+    return shown(f"{total} / count({c})")
 
 
 def exact_ext2(fn: str, c: str) -> str:
-    return half_even_hundredths(f"{fn}({_micro(c)})", "10000")
+    return shown(f"{fn}({c})")
 
 
 WIDE = WIDE.format(
@@ -339,13 +346,17 @@ def build() -> dict[str, str]:
     obs = with_(T_OBS)
     since = "DATE >= DATE '1970-01-01'"
     q["scan_obs_partitioned"] = obs + " SELECT ID, strftime(DATE, '%Y%m%d') AS DATE, DATA_VALUE, ELEMENT FROM t_obs"
-    for k in ("scan_obs_merged", "sink_merged_parquet", "parse_date", "sort_obs"):
+    q["sort_obs"] = obs + (
+        f" SELECT {OBS_COLS}, row_number() OVER (ORDER BY ID, DATE, ELEMENT NULLS FIRST, DATA_VALUE NULLS FIRST) - 1 AS POSITION FROM t_obs")
+    for k in ("scan_obs_merged", "sink_merged_parquet", "parse_date"):
         q[k] = obs + f" SELECT {OBS_COLS} FROM t_obs"
     q["scan_stations_fixed_width"] = with_(STATIONS) + " SELECT * FROM stations"
     q["scan_wide_station_file"] = with_(T_OBS, WIDE) + " SELECT * FROM wide"
     q["scan_output_csv"] = with_(*ALL_OUT) + " SELECT * FROM monthly"
     q["sink_mode"] = with_(*ALL_OUT) + (
-        f" SELECT * REPLACE (CASE WHEN {_MATCH} THEN TMAX_MAX ELSE CAST(MONTH AS DOUBLE) END AS TMAX_MAX) FROM monthly"
+        " SELECT * REPLACE ("
+        + ", ".join(f"CASE WHEN {_MATCH} OR {c} IS NULL THEN {c} ELSE CAST(MONTH AS DOUBLE) END AS {c}" for c in ("TMAX_MAX", "TMAX_P90"))
+        + ") FROM monthly"
     )
 
     daily_txt = ", ".join(
@@ -354,6 +365,7 @@ def build() -> dict[str, str]:
         + ["CAST(MONTH AS VARCHAR) AS MONTH", "CAST(DAY_OF_MONTH AS VARCHAR) AS DAY_OF_MONTH"]
     )
     q["sink_daily_csv"] = with_(*ALL_OUT) + f" SELECT {_pfx()} AS PFX, ID, {daily_txt} FROM daily"
+    q["sink_bundle_csv"] = q["sink_daily_csv"]
     monthly_txt = ", ".join(
         ["CAST(MONTH AS VARCHAR) AS MONTH"]
         + [f"{fmt(c)} AS {c}" for c in ("TMIN_P10", "TMAX_P90", "TMIN_MIN", "TMAX_MAX", "PRCP_SUM")]
@@ -420,7 +432,8 @@ SELECT KIND, {_pfx()} AS PFX, ID, LINE FROM lines WHERE ID IN (SELECT ID FROM ma
     q["period_start"] = obs + " SELECT ID, ELEMENT, DATE, make_date(year(DATE), month(DATE), 1) AS PERIOD_START FROM t_obs"
     q["round_2"] = obs + f" SELECT ID, ELEMENT, DATE, {r2('DATA_VALUE / 8.0::DOUBLE')} AS VALUE FROM t_obs"
     q["station_path_prefix"] = with_(STATIONS) + f" SELECT ID, {_pfx()} AS PFX FROM stations"
-    q["lookup_station"] = with_(T_OBS, STATIONS) + " SELECT * FROM stations WHERE ID IN (SELECT ID FROM t_obs)"
+    ids = ("CHM00000000", "JA000000001", "KSM00000002")
+    q["lookup_station"] = with_(STATIONS) + f" SELECT * FROM stations WHERE ID IN {ids}"
     q["flag_missing"] = with_(T_OBS, STATIONS, FLAGGED) + " SELECT * FROM flagged"
     q["filter_bounds"] = q["flag_missing"] + (
         " WHERE LATITUDE BETWEEN -40 AND 40 AND LONGITUDE BETWEEN -150 AND 150 AND NOT MISSING"
@@ -498,9 +511,8 @@ SELECT KIND, {_pfx()} AS PFX, ID, LINE FROM lines WHERE ID IN (SELECT ID FROM ma
     q["assemble_daily"] = with_(*ALL_OUT) + " SELECT * FROM daily"
     q["assemble_monthly"] = with_(*ALL_OUT) + " SELECT * FROM monthly"
     q["assemble_history"] = with_(*ALL_OUT) + " SELECT * FROM history"
-    q["sort_outputs"] = q["assemble_history"] + " ORDER BY ID, YEAR, MONTH"
+    q["sort_outputs"] = with_(*ALL_OUT) + " SELECT *, row_number() OVER (ORDER BY ID, YEAR, MONTH) - 1 AS POSITION FROM history"
 
-    ids = ("CHM00000000", "JA000000001", "KSM00000002")
     cmp_cols = []
     for i in ids:
         cmp_cols.append(f"max(CASE WHEN ID = '{i}' THEN TMAX_MAX END) AS \"{i}_MAX_TEMP\"")
@@ -509,7 +521,8 @@ SELECT KIND, {_pfx()} AS PFX, ID, LINE FROM lines WHERE ID IN (SELECT ID FROM ma
         f" SELECT MONTH, {', '.join(cmp_cols)} FROM v_monthly WHERE ID IN {ids} GROUP BY MONTH"
     )
     q["day_index"] = with_(*ALL_OUT) + " SELECT ID, MONTH, DAY_OF_MONTH, DAY FROM daily"
-    q["gap_flag_monthly"] = charts + " SELECT ID, X, GAP FROM c_monthly"
+    seasonal = charts.replace(T_OBS, T_OBS_AND_SEASONAL)
+    q["gap_flag_monthly"] = seasonal + " SELECT ID, X, GAP FROM c_monthly"
     q["gap_flag_history"] = charts + " SELECT ID, X, GAP FROM c_history"
     q["chart_valid_rows"] = charts + " SELECT * FROM v_daily"
     q["chart_daily_series"] = charts + " SELECT * FROM c_daily"

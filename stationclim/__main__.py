@@ -33,6 +33,7 @@ def _args(argv):
         if name == "stations":
             s.add_argument("--stations", required=True, help="fixed-width station list")
             s.add_argument("--prefixes", default=",".join(STATION_PREFIXES))
+            s.add_argument("--layout", default="station", choices=["station", "bundle"])
         else:
             s.add_argument("--id", action="append", required=True, help="station ID (repeatable)")
             s.add_argument("--window", default="both", choices=["daily", "monthly", "both"])
@@ -42,6 +43,7 @@ def _args(argv):
     w.add_argument("--wide-monthly", help="root of the monthly files; without it only the daily kind is written")
     w.add_argument("--out", required=True)
     w.add_argument("--cutoff", default=DEFAULT_CUTOFF.isoformat())
+    w.add_argument("--mode", default="overwrite", choices=["overwrite", "ignore"])
     return p.parse_args(argv)
 
 
@@ -55,13 +57,13 @@ def main(argv=None) -> int:
         jobs.merge_job(spark, a.raw, a.merged)
     elif a.cmd == "stations":
         jobs.all_stations_job(spark, a.merged, a.stations, a.out, dt.date.fromisoformat(a.cutoff),
-                              tuple(x for x in a.prefixes.split(",") if x), a.mode)
+                              tuple(x for x in a.prefixes.split(",") if x), a.mode, layout=a.layout)
     elif a.cmd == "station":
         windows = jobs.WINDOWS if a.window == "both" else (a.window,)
         jobs.selected_stations_job(spark, a.merged, a.id, a.out, dt.date.fromisoformat(a.cutoff), a.mode,
                                    windows=windows)
     elif a.cmd == "wide":
-        jobs.wide_job(spark, a.wide, a.out, dt.date.fromisoformat(a.cutoff), wide_monthly_root=a.wide_monthly)
+        jobs.wide_job(spark, a.wide, a.out, dt.date.fromisoformat(a.cutoff), a.mode, a.wide_monthly)
     return 0
 
 

@@ -7,20 +7,20 @@ operator is keyed by ``ID`` so one call serves one station or all of them.
 Shuffle plan (see ``plans/inspect.py`` for the checks):
 
 1. partial aggregation to the value histogram, shuffled on its full key;
-2. one shuffle of the histogram on ``ID``.
+2. one shuffle of the histogram on ``(ID, MONTH)``.
 
 Everything after that -- quantile ranking, year-level summary, the
-climatology, the element pivot, the ``DAY`` row number and the monthly
-branch -- is keyed by a superset of ``ID`` and runs inside those
-partitions without another exchange.  Per station the histogram is bounded
-by calendar days x elements x distinct values, so hash-partitioning on
-``ID`` cannot concentrate an unbounded number of rows in one task even when
-one station holds a large share of the raw rows.
+climatology, the element pivot and the monthly branch -- is keyed by a
+superset of ``(ID, MONTH)`` and runs inside those partitions.  The ``DAY``
+number crosses months; it needs one more shuffle, again on ``(ID, MONTH)``, of
+at most 12 x 12 rows a station (``day_numbers``).  So one station is the work of
+up to twelve tasks, and per (station, month) the histogram is bounded by
+calendar days x elements x distinct values, however many rows are duplicates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import day_of_month, month_of, period_start, round2, scale_factor, since, year_of
@@ -37,6 +37,7 @@ from .summarize import summarize_histogram, value_histogram
 
 DAY_KEYS = ("ID", "ELEMENT", "YEAR", "MONTH", "DAY_OF_MONTH")
 MONTH_KEYS = ("ID", "ELEMENT", "YEAR", "MONTH")
+CLUSTER = ("ID", "MONTH")  # every step after the histogram is keyed by a superset of these
 
 
 # --------------------------------------------------------------------------- filters
@@ -61,19 +62,19 @@ def with_date_parts(obs: DataFrame, date: str = "DATE") -> DataFrame:
 # --------------------------------------------------------------------------- histograms
 
 def day_histogram(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
-    """Value histogram per (station, element, calendar date), nulls kept, ID-partitioned."""
+    """Value histogram per (station, element, calendar date), nulls kept, clustered by (ID, MONTH)."""
     base = with_date_parts(filter_from(obs, cutoff)).select(*DAY_KEYS, "DATA_VALUE")
-    return value_histogram(base, DAY_KEYS).repartition("ID")
+    return value_histogram(base, DAY_KEYS).repartition(*CLUSTER)
 
 
 def month_histogram(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
-    """Value histogram per (station, element, year, month), nulls dropped, ID-partitioned."""
+    """Value histogram per (station, element, year, month), nulls dropped, clustered by (ID, MONTH)."""
     base = with_date_parts(filter_not_null(filter_from(obs, cutoff))).select(*MONTH_KEYS, "DATA_VALUE")
-    return value_histogram(base, MONTH_KEYS).repartition("ID")
+    return value_histogram(base, MONTH_KEYS).repartition(*CLUSTER)
 
 
 def month_histogram_from_days(day_hist: DataFrame) -> DataFrame:
-    """Roll a day histogram up to months (no shuffle if ``day_hist`` is ID-partitioned)."""
+    """Roll a day histogram up to months (no shuffle if ``day_hist`` is clustered by (ID, MONTH))."""
     return (
         day_hist.where(F.col("DATA_VALUE").isNotNull())
         .groupBy(*MONTH_KEYS, "DATA_VALUE")
@@ -181,11 +182,37 @@ def climatology_values() -> list[F.Column]:
     ]
 
 
-def assemble_daily(yd: DataFrame) -> DataFrame:
-    """Daily climatology of every station: keys are the union over elements."""
+def day_numbers(day_hist: DataFrame) -> DataFrame:
+    """(ID, MONTH, DAYS, BEFORE): the calendar days present in a month as bits, and how many the months before have.
+
+    Each month tells the later ones how many days it has, so that the sums are
+    made by (ID, MONTH) and no task needs a whole station.
+    """
+    # The comparison always holds.  It reads every column, so that this branch and the climatology share one exchange
+    # of the histogram instead of each pruning it in its own way.
+    whole_row = F.xxhash64(*day_hist.columns) >= F.lit(-(2**63))
+    known = day_hist.where(F.col("ID").isNotNull() & F.col("MONTH").isNotNull())  # as the join implies for the other branch
+    bits = known.groupBy("ID", "MONTH").agg(F.bit_or(F.when(whole_row, F.expr("shiftleft(1L, DAY_OF_MONTH)"))).alias("DAYS"))
+    n = F.bit_count("DAYS").cast("long")
+    own = F.array(F.struct(F.col("MONTH").alias("MONTH"), F.col("DAYS").alias("DAYS"), F.lit(0).cast("long").alias("N")))
+    later = F.transform(
+        F.filter(F.array(*[F.lit(m) for m in range(1, 13)]), lambda m: m > F.col("MONTH")),
+        lambda m: F.struct(m.alias("MONTH"), F.lit(0).cast("long").alias("DAYS"), n.alias("N")))
+    told = bits.select("ID", F.explode(F.concat(own, later)).alias("_t")).select("ID", "_t.*")
+    return told.groupBy("ID", "MONTH").agg(F.bit_or("DAYS").alias("DAYS"), F.sum("N").alias("BEFORE"))
+
+
+def assemble_daily(yd: DataFrame, day_hist: DataFrame) -> DataFrame:
+    """Daily climatology of every station: keys are the union over elements.
+
+    ``yd`` is the ``year_day_summary`` of ``day_hist``.  ``DAY`` numbers a station's
+    calendar days from 1: the days of the months before, and the days up to this
+    one within the month.
+    """
     combined = yd.groupBy("ID", "MONTH", "DAY_OF_MONTH").agg(*climatology_values())
-    w = Window.partitionBy("ID").orderBy("MONTH", "DAY_OF_MONTH")
-    out = combined.withColumn("DAY", F.row_number().over(w))
+    upto = F.col("DAYS").bitwiseAND(F.expr("shiftleft(2L, DAY_OF_MONTH) - 1L"))
+    out = combined.join(day_numbers(day_hist), ["ID", "MONTH"]).withColumn(
+        "DAY", (F.col("BEFORE") + F.bit_count(upto)).cast("int"))
     return out.select(
         "ID",
         *[round2(c).alias(c) if c not in ("DAY", "MONTH", "DAY_OF_MONTH") else F.col(c) for c in DAILY_COLUMNS],
@@ -324,7 +351,8 @@ def history_rows(history: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- one-call helpers
 
 def daily_output(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:
-    return assemble_daily(year_day_summary(day_histogram(obs, cutoff)))
+    hist = day_histogram(obs, cutoff)
+    return assemble_daily(year_day_summary(hist), hist)
 
 
 def monthly_output(obs: DataFrame, cutoff=DEFAULT_CUTOFF) -> DataFrame:

@@ -40,8 +40,11 @@ def with_path_prefix(df: DataFrame, id_col: str = "ID", out: str = "PFX") -> Dat
     return df.withColumn(out, path_prefix(id_col))
 
 
-def lookup_station(stations: DataFrame, ids: DataFrame, id_col: str = "ID") -> DataFrame:
-    """Station records for every ID in ``ids`` (unknown IDs give no row)."""
+def lookup_station(stations: DataFrame, ids, id_col: str = "ID") -> DataFrame:
+    """Station records for one ID, a list of IDs, or the IDs of a DataFrame (unknown IDs give no row).
+
+    One ID or a list is a plain filter that reaches the scan of the list.
+    """
     return filter_station(stations, ids, id_col)
 
 

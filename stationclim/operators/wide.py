@@ -4,11 +4,12 @@ Input: ``wide(STATION, DATE, TMIN_P10, TMAX_P90, TMIN_MIN, TMAX_MAX, PRCP_SUM)``
 already in degrees.  Grouping is by the *ordinal* day of the year, so in
 normal years March 1 shares day 60 with February 29 of leap years.
 
-The inputs are arbitrary doubles, so a plain ``avg`` would depend on the
-order rows meet in each task.  Values are therefore summed as decimals of
-their shortest text with ``VALUE_SCALE`` places, more than a double of 1 or
-above can show: the result is exact and the same for any partitioning.  With ``decimals`` set, results are rounded half
-to even in decimal arithmetic (what the CSV output shows).
+The inputs are arbitrary doubles, and a plain ``avg`` depends on the order in
+which rows meet.  Means are therefore taken by exact binned sums
+(``functions/exact.py``), which is the plain mean without its rounding errors:
+the same for any partitioning, for any finite double, with NaN and infinities
+as IEEE arithmetic has them.  Extremes ignore NaN unless there is nothing else.
+With ``decimals=2`` results are what printing the double with two decimals shows.
 """
 
 from __future__ import annotations
@@ -16,31 +17,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import mean_by_bins, text_round2
 from ..functions.exprs import day_of_month, month_of, ordinal_day, since
 from ..schema import DEFAULT_CUTOFF, WIDE_DAILY_COLUMNS, WIDE_MONTHLY_COLUMNS
 
-VALUE_SCALE = 16
-_DEC = f"decimal(38,{VALUE_SCALE})"
+MEANS = ("TMIN_P10", "TMAX_P90", "PRCP_SUM")
 
 
-def _dec(c: str) -> F.Column:
-    return F.col(c).cast(_DEC)
-
-
-def _value_aggs(decimals: int | None) -> list[F.Column]:
-    aggs = [
-        ("TMIN_P10", F.avg(_dec("TMIN_P10"))),
-        ("TMAX_P90", F.avg(_dec("TMAX_P90"))),
-        ("TMIN_MIN", F.min(_dec("TMIN_MIN"))),
-        ("TMAX_MAX", F.max(_dec("TMAX_MAX"))),
-        ("PRCP_SUM", F.avg(_dec("PRCP_SUM"))),
-    ]
-    out = []
-    for name, a in aggs:
-        if decimals is not None:
-            a = F.bround(a, decimals)
-        out.append(a.cast("double").alias(name))
-    return out
+def _grouped(wide: DataFrame, keys: dict[str, F.Column], extra: dict[str, F.Column], columns, decimals: int | None) -> DataFrame:
+    """Means and extremes per group, in one pass; ``extra`` are expressions of the group's earliest ``DATE``."""
+    if decimals not in (None, 2):
+        raise ValueError("decimals must be None or 2")
+    ends, out = {"_FIRST": (F.min, F.col("DATE"))}, dict(extra)
+    for c, fn in (("TMIN_MIN", F.min), ("TMAX_MAX", F.max)):
+        v = F.col(c).cast("double")
+        ends |= {f"_ANY_{c}": (fn, v), f"_REAL_{c}": (fn, F.when(~F.isnan(v), v))}
+        out[c] = F.coalesce(F.col(f"_REAL_{c}"), F.col(f"_ANY_{c}"))
+    found = mean_by_bins(wide.withColumns(keys), list(keys), MEANS, ends).withColumns(out)
+    kinds = {"TMIN_MIN", "TMAX_MAX", *MEANS}
+    return found.select("ID", *[text_round2(F.col(c)).alias(c) if decimals and c in kinds else F.col(c) for c in columns])
 
 
 def _since(wide: DataFrame, cutoff) -> DataFrame:
@@ -53,17 +48,10 @@ def agg_wide_by_ordinal_day(wide: DataFrame, cutoff=DEFAULT_CUTOFF, decimals: in
     The calendar day reported for an ordinal day is that of its earliest
     date (deterministic, unlike first-in-file-order).
     """
-    g = _since(wide, cutoff).groupBy(F.col("STATION").alias("ID"), ordinal_day("DATE").alias("DAY")).agg(
-        *_value_aggs(decimals),
-        F.min_by(month_of("DATE"), F.col("DATE")).alias("MONTH"),
-        F.min_by(day_of_month("DATE"), F.col("DATE")).alias("DAY_OF_MONTH"),
-    )
-    return g.select("ID", *WIDE_DAILY_COLUMNS)
+    return _grouped(_since(wide, cutoff), {"ID": F.col("STATION"), "DAY": ordinal_day("DATE")},
+                    {"MONTH": month_of("_FIRST"), "DAY_OF_MONTH": day_of_month("_FIRST")}, WIDE_DAILY_COLUMNS, decimals)
 
 
 def agg_wide_by_month(wide: DataFrame, cutoff=DEFAULT_CUTOFF, decimals: int | None = None) -> DataFrame:
     """Per (station, calendar month): means and extremes."""
-    g = _since(wide, cutoff).groupBy(F.col("STATION").alias("ID"), month_of("DATE").alias("MONTH")).agg(
-        *_value_aggs(decimals)
-    )
-    return g.select("ID", *WIDE_MONTHLY_COLUMNS)
+    return _grouped(_since(wide, cutoff), {"ID": F.col("STATION"), "MONTH": month_of("DATE")}, {}, WIDE_MONTHLY_COLUMNS, decimals)

@@ -20,10 +20,11 @@ from ..operators import chart as ch
 from ..operators import climatology as clim
 from ..operators import stations as st
 from ..operators import wide as wd
+from ..operators.ordering import with_position
 from ..plans import jobs
 from ..schema import ELEMENTS, HISTORY_COLUMNS, STATS
 from ..session import scratch_path
-from ..sinks import writers
+from ..sinks import bundles, writers
 from ..sources import testviews as tv
 from ..sources.observations import parse_obs_dates, scan_obs_merged, scan_obs_partitioned
 from ..sources.outputs import scan_output_csv
@@ -183,23 +184,42 @@ def q_sink_summary_json(spark, sf_dir):
 
 @register("sink_geojson")
 def q_sink_geojson(spark, sf_dir):
+    """The GeoJSON after a second run in ``ignore`` mode over a longer list, with observations of the new stations only.
+
+    Stations that the first run wrote are not MISSING, though the second run has no rows for them.
+    """
     path = scratch_path(spark, "geojson")
-    writers.write_geojson(st.geojson_features(flagged_stations(spark, sf_dir)), path)
-    return st.parse_features(writers.read_geojson_features(spark, path))
+    jobs.run_stations(obs(spark, sf_dir), stations(spark, sf_dir), path)
+    silent = parse_station_lines(tv.t_silent_station_lines(spark, sf_dir))
+    out = jobs.run_stations(tv.t_null_obs(spark, sf_dir), stations(spark, sf_dir).unionByName(silent), path, mode="ignore")
+    layer = f"{path}/{jobs.GEOJSON}"
+    writers.write_geojson(st.geojson_features(out.stations), layer)
+    return st.parse_features(writers.read_geojson_features(spark, layer))
 
 
 @register("sink_mode")
 def q_sink_mode(spark, sf_dir):
-    """The matched stations are written, then all stations with other values in ``ignore`` mode.
+    """A run over the matched stations, then one in ``ignore`` mode over all stations, with other values of TMAX.
 
-    What is there stays as it is; the stations that were not there are written.
+    What the first run has finished stays as it is; the other stations are computed from the other values.
     """
     path = scratch_path(spark, "mode")
-    monthly = clim.monthly_output(obs(spark, sf_dir))
-    writers.write_station_csv(st.filter_station_prefix(monthly), path, "monthly", mode="overwrite")
-    altered = monthly.withColumn("TMAX_MAX", F.col("MONTH").cast("double"))
-    writers.write_station_csv(altered, path, "monthly", mode="ignore")
-    return scan_output_csv(spark, path, "monthly")
+    o = obs(spark, sf_dir)
+    every = o.select("ID").distinct()
+    jobs.run_stations(o, every, path, windows=("monthly",))
+    value = F.when(F.col("DATA_VALUE").isNotNull(), F.month("DATE").cast("long") * 10)
+    altered = o.withColumn("DATA_VALUE", F.when(F.col("ELEMENT") == "TMAX", value).otherwise(F.col("DATA_VALUE")))
+    jobs.run_stations(altered, every, path, prefixes=("",), mode="ignore", windows=("monthly",))
+    return scan_output_csv(spark, f"{path}/KIND=monthly", "monthly")
+
+
+@register("sink_bundle_csv")
+def q_sink_bundle_csv(spark, sf_dir):
+    """The daily output of all stations from a run in the bundle layout."""
+    path = scratch_path(spark, "bundles")
+    o = obs(spark, sf_dir)
+    jobs.run_stations(o, o.select("ID").distinct(), path, prefixes=("",), windows=("daily",), layout="bundle")
+    return bundles.scan_bundle_csv(spark, path, "daily")
 
 
 @register("sink_skip_empty")
@@ -275,7 +295,7 @@ def q_station_path_prefix(spark, sf_dir):
 
 @register("lookup_station")
 def q_lookup_station(spark, sf_dir):
-    return st.lookup_station(stations(spark, sf_dir), obs(spark, sf_dir).select("ID").distinct())
+    return st.lookup_station(stations(spark, sf_dir), COMPARE_IDS)
 
 
 @register("filter_bounds")
@@ -356,7 +376,7 @@ def q_agg_axis_bounds(spark, sf_dir):
     hist = clim.day_histogram(obs(spark, sf_dir))  # one exchange, reused by the three charts
     ym = clim.year_month_summary(clim.month_histogram_from_days(hist))
     parts = [
-        ("daily", ch.chart_daily_series(clim.assemble_daily(clim.year_day_summary(hist)))),
+        ("daily", ch.chart_daily_series(clim.assemble_daily(clim.year_day_summary(hist), hist))),
         ("monthly", ch.chart_monthly_series(clim.assemble_monthly(ym))),
         ("history", ch.chart_history_series(clim.assemble_history(ym))),
     ]
@@ -462,7 +482,9 @@ def q_day_index(spark, sf_dir):
 
 @register("gap_flag_monthly")
 def q_gap_flag_monthly(spark, sf_dir):
-    return ch.chart_monthly_series(clim.monthly_output(obs(spark, sf_dir))).select("ID", "X", "GAP")
+    """Stations that report all year, and seasonal ones whose charts break between months."""
+    every = obs(spark, sf_dir).unionByName(tv.t_seasonal_obs(spark, sf_dir))
+    return ch.chart_monthly_series(clim.monthly_output(every)).select("ID", "X", "GAP")
 
 
 @register("gap_flag_history")
@@ -472,12 +494,13 @@ def q_gap_flag_history(spark, sf_dir):
 
 @register("sort_obs")
 def q_sort_obs(spark, sf_dir):
-    return obs(spark, sf_dir).repartitionByRange("ID", "DATE").sortWithinPartitions("ID", "DATE")
+    """All observations with their place in the order of (ID, DATE); the other columns settle ties."""
+    return with_position(obs(spark, sf_dir), ["ID", "DATE", "ELEMENT", "DATA_VALUE"])
 
 
 @register("sort_outputs")
 def q_sort_outputs(spark, sf_dir):
-    return clim.history_output(obs(spark, sf_dir)).orderBy("ID", "YEAR", "MONTH")
+    return with_position(clim.history_output(obs(spark, sf_dir)), ["ID", "YEAR", "MONTH"])
 
 
 # --------------------------------------------------------------------------- 2.7 chart tables

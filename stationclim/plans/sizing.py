@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +59,12 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dic
     }
 
 
-def write_bucketed_table(df: DataFrame, name: str, key: str = "ID", buckets: int | None = None) -> DataFrame:
-    """Materialise ``df`` as a parquet table bucketed by ``key`` under the shared checkpoint folder.
+def write_bucketed_table(df: DataFrame, name: str, keys: Sequence[str] = ("ID",), buckets: int | None = None) -> DataFrame:
+    """Materialise ``df`` as a parquet table bucketed by ``keys`` under the shared checkpoint folder.
 
     Cuts the lineage (executor loss re-reads files instead of recomputing), and
-    the bucketed scan reports ``hashpartitioning(key)``, so later groupings and
-    windows keyed by ``key`` need no shuffle (an RDD checkpoint loses that).
+    the bucketed scan reports ``hashpartitioning(keys)``, so later groupings and
+    windows keyed by a superset of them need no shuffle (an RDD checkpoint loses that).
     """
     import uuid
 
@@ -74,7 +75,7 @@ def write_bucketed_table(df: DataFrame, name: str, key: str = "ID", buckets: int
     n = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), most)
     path = scratch_path(spark, name)
     table = f"stationclim_{name}_{uuid.uuid4().hex[:12]}"
-    df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._stationclim_table, out._stationclim_path = table, path  # for release()
     return out

@@ -7,6 +7,10 @@ nothing is funnelled through the driver or a single task.
 ``mode`` is the Spark save mode: ``"ignore"`` skips an existing output,
 ``"overwrite"`` replaces it.  With ``dynamic=True`` an overwrite only
 replaces the station directories present in the new data.
+
+Outputs arrive clustered by (ID, MONTH).  The lines of a station's file, bounded
+by the calendar and the number of months, are brought together by (KIND, PFX,
+ID) when they are written.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fmt2, path_prefix
+from ..operators.ordering import release, with_position
 from ..schema import DAILY_COLUMNS, ELEMENTS, HISTORY_COLUMNS, MONTHLY_COLUMNS, WIDE_DAILY_COLUMNS, WIDE_MONTHLY_COLUMNS
+from . import manifest
 
 COLUMNS = {
     "daily": DAILY_COLUMNS,
@@ -63,9 +69,8 @@ def write_merged_parquet(obs: DataFrame, root: str, mode: str = "overwrite", par
 def write_station_csv(df: DataFrame, root: str, kind: str, mode: str = "overwrite", dynamic: bool = True) -> None:
     """One CSV file (with header) per station under ``root/PFX=<p>/ID=<id>/``.
 
-    Goes through ``csv_lines``: its window per ID clusters each station into one
-    task (no shuffle when ``df`` is already ID-partitioned, as the assembled
-    outputs are), so every station gets exactly one file, header first.
+    Goes through ``csv_lines`` and ``write_lines``: every station gets exactly
+    one file, header first.
     """
     write_lines(csv_lines(df, kind), root, mode, dynamic, by_kind=False)
 
@@ -88,25 +93,23 @@ GEOJSON_HEAD = '{"type":"FeatureCollection","features":['
 GEOJSON_TAIL = "]}"
 
 
-def write_geojson(features: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """A FeatureCollection as ordered text parts under ``root``.
+def write_geojson(features: DataFrame, root: str) -> None:
+    """A FeatureCollection as ordered text parts under ``root``; an earlier one is replaced.
 
-    Lines are range-partitioned and sorted by (section, ID), so the part files
-    concatenated in name order form one GeoJSON document; every feature but the
-    first carries a leading comma.  The first ID is a single scalar aggregate.
+    Lines are sorted by (ID, feature) and written in the order of their position,
+    so the part files concatenated in name order form one GeoJSON document.  Every
+    feature but the one at position 0 carries a leading comma; equal IDs are
+    features like any other.  ``features`` is evaluated once.
     """
-    first = features.agg(F.min("ID").alias("m")).first()["m"]
-    body = features.select(
-        F.lit(1).alias("_S"),
-        F.col("ID").alias("_K"),
-        F.when(F.col("ID") == F.lit(first), F.col("FEATURE")).otherwise(F.concat(F.lit(","), F.col("FEATURE"))).alias(
-            "value"
-        ),
-    )
     spark = features.sparkSession
-    frame = spark.createDataFrame([(0, "", GEOJSON_HEAD), (2, "", GEOJSON_TAIL)], "_S int, _K string, value string")
-    lines = frame.unionByName(body).orderBy("_S", "_K")
-    lines.select("value").write.mode(mode).text(root)
+    placed = with_position(features.select("ID", "FEATURE"), ["ID", "FEATURE"])
+    try:
+        value = F.when(F.col("POSITION") == 0, F.col("FEATURE")).otherwise(F.concat(F.lit(","), F.col("FEATURE")))
+        body = placed.select("POSITION", value.alias("value"))
+        frame = spark.createDataFrame([(-1, GEOJSON_HEAD), (2**63 - 1, GEOJSON_TAIL)], "POSITION bigint, value string")
+        frame.unionByName(body).orderBy("POSITION").select("value").write.mode("overwrite").text(root)
+    finally:
+        release(placed)
 
 
 def read_geojson_features(spark, root: str) -> DataFrame:
@@ -132,59 +135,52 @@ _ORDER_KEY = {
 }
 
 
+def _lines(df: DataFrame, label, order, head: str | None, value) -> DataFrame:
+    return df.select(label.alias("KIND"), path_prefix("ID").alias("PFX"), "ID", order.alias("_ORD"),
+                     F.lit(head).cast("string").alias("_HEAD"), value.alias("value"))
+
+
 def csv_lines(df: DataFrame, kind: str, label: str | None = None) -> DataFrame:
-    """(KIND, PFX, ID, _ORD, value): one text line per row, the header prepended to each station's first row.
+    """(KIND, PFX, ID, _ORD, _HEAD, value): one text line per row.
 
     Fields hold numbers and dates only, so no quoting is needed; null is an
-    empty field.  ``_ORD`` orders rows within a station file.  The header
-    travels inside the first row (found with a window per ID, which needs no
-    shuffle on ID-partitioned input) so it is written by the same task, into
-    the same file, as the rows.
+    empty field.  ``_ORD`` orders rows within a station file, ``_HEAD`` is the
+    file's header line.
     """
-    label = label or kind
     text = csv_text_columns(df, kind)
     fields = [F.coalesce(F.col(c), F.lit("")) for c in COLUMNS[kind]]
-    body = text.select("ID", _ORDER_KEY[kind]().alias("_ORD"), F.concat_ws(",", *fields).alias("value"))
-    first = F.min("_ORD").over(Window.partitionBy("ID"))
-    header = F.lit(",".join(COLUMNS[kind]) + "\n")
-    value = F.when(F.col("_ORD") == first, F.concat(header, F.col("value"))).otherwise(F.col("value"))
-    return body.select(F.lit(label).alias("KIND"), path_prefix("ID").alias("PFX"), "ID", "_ORD", value.alias("value"))
+    return _lines(text, F.lit(label or kind), _ORDER_KEY[kind](), ",".join(COLUMNS[kind]), F.concat_ws(",", *fields))
 
 
 def json_lines(df: DataFrame, label: str) -> DataFrame:
-    """(KIND, PFX, ID, _ORD, value) with one JSON object per row (null fields omitted)."""
+    """(KIND, PFX, ID, _ORD, _HEAD, value) with one JSON object per row (null fields omitted) and no header."""
     payload = F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "ID"]))
-    return df.select(
-        F.lit(label).alias("KIND"), path_prefix("ID").alias("PFX"), "ID", F.lit(0).cast("long").alias("_ORD"),
-        payload.alias("value"),
-    )
-
-
-def _present(spark, root: str, parts: list[str]) -> DataFrame | None:
-    """The partitions that ``root`` holds, or None where it does not exist."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    schema = "value string, " + ", ".join(f"{c} string" for c in parts)
-    return spark.read.schema(schema).text(root).select(*parts).distinct()
+    return _lines(df, F.lit(label), F.lit(0).cast("long"), None, payload)
 
 
 def write_lines(lines: DataFrame, root: str, mode: str = "overwrite", dynamic: bool = True,
-                by_kind: bool = True) -> None:
+                by_kind: bool = True, done: DataFrame | None = None) -> None:
     """Write ``csv_lines`` / ``json_lines`` (unioned) as ``root/KIND=/PFX=/ID=/part-*``.
 
     One job writes every kind; within a station file the header comes first
     and rows follow in ``_ORD`` order.  ``by_kind=False`` drops the KIND level.
-    ``mode="ignore"`` leaves every station and kind that is already there as it
-    is and writes the others.
+    ``mode="ignore"`` leaves the stations and kinds of ``done`` as they are
+    (default: those whose directories are there) and writes the others; what
+    an unfinished run has left of these is replaced.
     """
     parts = ["KIND", "PFX", "ID"] if by_kind else ["PFX", "ID"]
     if mode == "ignore":
-        present = _present(lines.sparkSession, root, parts)
-        if present is not None:
-            lines = lines.join(present, parts, "left_anti")
-        mode = "append"
-    ordered = lines.sortWithinPartitions(*parts, "_ORD")
+        if done is None:
+            done = manifest.listed(lines.sparkSession, root, parts)
+        if done is not None:
+            lines = lines.join(done.select(*parts), parts, "left_anti")
+        mode, dynamic = "overwrite", True
+    value = F.col("value")
+    if "_HEAD" in lines.columns:
+        # The window brings each file's lines into one task.
+        first = F.col("_ORD") == F.min("_ORD").over(Window.partitionBy(*parts))
+        value = F.when(first & F.col("_HEAD").isNotNull(), F.concat("_HEAD", F.lit("\n"), "value")).otherwise(value)
+    ordered = lines.select(*parts, "_ORD", value.alias("value")).sortWithinPartitions(*parts, "_ORD")
     _writer(ordered.select(*parts, "value"), mode, dynamic).partitionBy(*parts).text(root)
 
 
@@ -217,9 +213,9 @@ def month_level_lines(raw: DataFrame, history_label: str = "monthly-history",
 
     Each (ID, YEAR, MONTH) row yields its history line; the first year of each
     (ID, MONTH) also yields that month's climatology line, whose values are
-    window averages / extremes over the (ID, MONTH) rows.  Both windows are
-    keyed by ID, so on ID-partitioned input there is no shuffle, and the
-    month-level ranking is computed once instead of once per output.
+    window averages / extremes over the (ID, MONTH) rows.  On input clustered
+    by (ID, MONTH) there is no shuffle, and the month-level ranking is computed
+    once instead of once per output.
     """
     from ..operators.climatology import history_values, monthly_values_over
 
@@ -230,24 +226,12 @@ def month_level_lines(raw: DataFrame, history_label: str = "monthly-history",
     hist_line = F.concat_ws(",", *[_text(hist[c], _kind_of(c, "history")) for c in HISTORY_COLUMNS])
     mon_line = F.concat_ws(",", *[_text(mon[c], _kind_of(c, "monthly")) for c in MONTHLY_COLUMNS])
     first_year = F.row_number().over(by_month) == 1
-    rows = raw.select(
-        "ID",
-        (F.col("YEAR").cast("long") * 100 + F.col("MONTH")).alias("_HORD"),
-        hist_line.alias("_HLINE"),
-        F.col("MONTH").cast("long").alias("_MORD"),
-        F.when(first_year, mon_line).alias("_MLINE"),
-    )
-    by_station = Window.partitionBy("ID")
-    h_head = F.lit(",".join(HISTORY_COLUMNS) + "\n")
-    m_head = F.lit(",".join(MONTHLY_COLUMNS) + "\n")
-    h_val = F.when(F.col("_HORD") == F.min("_HORD").over(by_station), F.concat(h_head, "_HLINE")).otherwise(
-        F.col("_HLINE"))
-    m_val = F.when(F.col("_MORD") == F.min("_MORD").over(by_station), F.concat(m_head, "_MLINE")).otherwise(
-        F.col("_MLINE"))
-    both = rows.select("ID", F.array(
-        F.struct(F.lit(history_label).alias("KIND"), F.col("_HORD").alias("_ORD"), h_val.alias("value")),
-        F.struct(F.lit(monthly_label).alias("KIND"), F.col("_MORD").alias("_ORD"), m_val.alias("value")),
+    both = raw.select("ID", F.array(
+        F.struct(F.lit(history_label).alias("KIND"), (F.col("YEAR").cast("long") * 100 + F.col("MONTH")).alias("_ORD"),
+                 F.lit(",".join(HISTORY_COLUMNS)).alias("_HEAD"), hist_line.alias("value")),
+        F.struct(F.lit(monthly_label).alias("KIND"), F.col("MONTH").cast("long").alias("_ORD"),
+                 F.lit(",".join(MONTHLY_COLUMNS)).alias("_HEAD"), F.when(first_year, mon_line).alias("value")),
     ).alias("_L"))
     out = both.select("ID", F.explode("_L").alias("_l")).where(F.col("_l.value").isNotNull())
     return out.select(F.col("_l.KIND").alias("KIND"), path_prefix("ID").alias("PFX"), "ID",
-                      F.col("_l._ORD").alias("_ORD"), F.col("_l.value").alias("value"))
+                      F.col("_l._ORD").alias("_ORD"), F.col("_l._HEAD").alias("_HEAD"), F.col("_l.value").alias("value"))

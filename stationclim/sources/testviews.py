@@ -171,3 +171,18 @@ def t_wide_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(tenth("TMAX", "MAX")).alias("TMAX_MAX"),
         F.max(F.when(F.col("ELEMENT") == "PRCP", F.col("SUM").cast("double"))).alias("PRCP_SUM"),
     )
+
+
+def t_seasonal_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of seasonal stations, from ``orders``: each station reports in some months of the year only.
+
+    ID ``CHM000`` + ``lpad(70000 + o_custkey % 11, 5, '0')``; DATE the order date moved back 28 years, kept where
+    ``(month * (o_custkey % 11 + 2)) % 5 < 2``; every order gives one value per element, ``o_orderkey % 300`` and 10 and 20 more.
+    """
+    k = F.col("o_custkey") % 11
+    date = F.add_months(F.col("o_orderdate").cast("date"), SHIFT_MONTHS)
+    o = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit(ID_PREFIXES[0]), F.lpad((k + 70000).cast("string"), 5, "0")).alias("ID"), date.alias("DATE"),
+        (F.col("o_orderkey") % 300).cast("long").alias("v"), k.alias("k")).where((F.month("DATE") * (F.col("k") + 2)) % 5 < 2)
+    values = F.create_map(*[x for n, e in enumerate(FLAG_TO_ELEMENT.values()) for x in (F.lit(e), F.col("v") + 10 * n)])
+    return o.select("ID", "DATE", F.explode(values).alias("ELEMENT", "DATA_VALUE")).select("ID", "ELEMENT", "DATE", "DATA_VALUE")

@@ -38,15 +38,28 @@ def test_cutoff_reaches_the_scan_and_columns_are_pruned(spark, merged):
     assert "IsNotNull(DATA_VALUE)" in scan["PushedFilters"]
 
 
-def test_daily_output_uses_two_shuffles(spark, merged):
+def clusterings(df):
+    """Keys of the plan's hash exchanges."""
+    import re
+
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", pi.physical_plan(df))
+    return [tuple(re.sub(r"#\d+L?", "", k).strip() for k in keys.split(",")[:-1]) for keys in found]
+
+
+def test_daily_output_never_clusters_by_station_alone(spark, merged):
     df = clim.daily_output(scan_obs_merged(spark, merged))
-    assert pi.count_exchanges(df) == 2
+    found = clusterings(df)
+    assert ("ID", "MONTH") in found and all({"ID", "MONTH"} <= set(keys) for keys in found)
     assert not pi.uses_object_aggregate(df)  # no collect_list: per-group memory bounded by distinct values
+    df.collect()
+    final = pi.physical_plan(df)
+    assert "ReusedExchange" in final  # the day numbers read the histogram that the climatology reads
 
 
 def test_history_and_monthly_use_two_shuffles(spark, merged):
     for df in (clim.history_output(scan_obs_merged(spark, merged)), clim.monthly_output(scan_obs_merged(spark, merged))):
         assert pi.count_exchanges(df) == 2
+        assert ("ID", "MONTH") in clusterings(df) and all({"ID", "MONTH"} <= set(keys) for keys in clusterings(df))
 
 
 def test_month_roll_up_needs_no_extra_shuffle(spark, merged):
@@ -71,42 +84,35 @@ def test_station_semi_join_broadcast_is_size_checked(spark, merged):
     assert sizing.broadcast_if_small(ids, max_rows=1)[1] is False
 
 
-def test_all_station_outputs_shuffle_only_into_the_cache(spark, merged, tmp_path):
+@pytest.mark.parametrize("materialize", ["cache", "table"])
+def test_outputs_of_a_materialised_histogram(spark, merged, tmp_path, materialize):
+    """The histogram keeps its (ID, MONTH) clustering: it is not shuffled again, only day numbers and counts are."""
     from stationclim.sinks import writers
     from stationclim.sources.stations import scan_stations_fixed_width
 
     tv.t_station_lines(spark, SF_SMALL).write.text(str(tmp_path / "st"))
     out = jobs.station_outputs(scan_obs_merged(spark, merged), scan_stations_fixed_width(spark, str(tmp_path / "st")),
-                               persist=True)
+                               materialize=materialize)
     try:
-        lines = (
-            writers.csv_lines(out.daily, "daily")
-            .unionByName(writers.csv_lines(out.monthly, "monthly"))
-            .unionByName(writers.csv_lines(out.history, "history"))
-            .unionByName(writers.json_lines(out.daily_summary, "daily-stats"))
-            .unionByName(writers.json_lines(out.monthly_summary, "monthly-stats"))
-        )
-        assert pi.count_exchanges(lines) == 0  # every output is computed inside the ID partitions
-        assert pi.count_exchanges(out.histogram) == 0 or "InMemory" in pi.physical_plan(out.histogram)
+        for df in (out.monthly, out.history, out.month_raw, writers.month_level_lines(out.month_raw)):
+            assert pi.count_exchanges(df) == 0
+        assert pi.count_exchanges(out.daily) <= 1  # the day numbers
+        if materialize == "table":  # (the text of a cached plan also shows how the cache was filled)
+            assert set(clusterings(out.daily)) <= {("ID", "MONTH")}
+        assert pi.physical_plan(writers.month_level_lines(out.month_raw)).count("Window") <= 4  # quantile and (ID, MONTH) windows
+        exp = clim.daily_output(st_filter(spark, merged))
+        assert out.daily.exceptAll(exp).count() == 0 and exp.exceptAll(out.daily).count() == 0
     finally:
-        out.histogram.unpersist()
-
+        jobs.release(out)
 
-def test_bucketed_table_keeps_id_partitioning(spark, merged, tmp_path):
-    from stationclim.sources.stations import scan_stations_fixed_width
-
-    tv.t_station_lines(spark, SF_SMALL).write.text(str(tmp_path / "st"))
-    out = jobs.station_outputs(scan_obs_merged(spark, merged), scan_stations_fixed_width(spark, str(tmp_path / "st")),
-                               materialize="table")
-    for df in (out.daily, out.monthly, out.history, out.daily_summary, out.monthly_summary):
-        assert pi.count_exchanges(df) == 0
-    from stationclim.sinks import writers
 
-    fused = writers.month_level_lines(out.month_raw)
-    assert pi.count_exchanges(fused) == 0
-    assert pi.physical_plan(fused).count("Window") <= 4  # quantile, (ID, MONTH) and per-station header windows
-    exp = clim.daily_output(st_filter(spark, merged))
-    assert out.daily.exceptAll(exp).count() == 0 and exp.exceptAll(out.daily).count() == 0
+def test_finished_stations_leave_before_the_histogram(spark, merged):
+    """The anti join with the manifest stands below the aggregation of the observations."""
+    ids = scan_obs_merged(spark, merged).select("ID").distinct()
+    done = spark.createDataFrame([(k, "CHM", "CHM00000000", "r") for k in ("daily", "monthly")], "KIND string, PFX string, ID string, RUN string")
+    out = jobs.station_outputs(scan_obs_merged(spark, merged), jobs.unfinished(ids, done))
+    plan = pi.physical_plan(out.histogram)
+    assert plan.index("HashAggregate") < plan.index("LeftSemi") < plan.index("LeftAnti")
 
 
 def st_filter(spark, merged):

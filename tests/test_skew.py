@@ -31,3 +31,18 @@ def test_hot_station_matches_brute_force(spark):
     # the histogram of the hot station is bounded by distinct values, not rows
     h = clim.day_histogram(o).where("ID = 'HOT'").count()
     assert h <= 3 * 62
+
+
+def test_a_hot_station_is_the_work_of_twelve_tasks(spark):
+    rows = [("HOT", "TMIN", f"1980-{m:02d}-{d:02d}", (m * d) % 7) for m in range(1, 13) for d in (1, 15, 28)]
+    o = obs_frame(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "997")  # so many that two months hardly share one
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for h in (clim.day_histogram(o), clim.month_histogram(o)):
+            assert h.selectExpr("spark_partition_id() AS p").distinct().count() == 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = [(r.MONTH, r.DAY_OF_MONTH, r.DAY) for r in clim.daily_output(o).orderBy("DAY").collect()]
+    assert got == [(m, d, 3 * (m - 1) + k) for m in range(1, 13) for k, d in enumerate((1, 15, 28), 1)]

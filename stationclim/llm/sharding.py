@@ -6,11 +6,13 @@ document of a group is linked with the group's hub, so a group of ``n`` needs
 ``n`` rows and no pairs.
 
 1. Every document starts in the shard its hash names.
-2. Propagation: a hub wants the shard that most of its members hold, and all
-   its members follow it.  Hubs are placed one by one, the largest first, each
-   in the best shard that has room for its own size; a hub that a shard
-   refuses takes its next best shard.  Small hubs are placed by hash ranges.
-   So every group is gathered; what fits nowhere goes where most room is.
+2. Propagation, in rounds of joins.  Each hub counts its members' shards; each
+   document adds up the counts of its hubs and wants the shard with the most of
+   its neighbours (ties: an order of the shards that its largest hub names, so
+   that neighbours agree).  Documents with one wish and one largest hub move
+   together, the largest group first; a group that a shard refuses for lack of
+   room takes its next best shard.  Rounds go on until no more links become
+   whole; a round that cuts as many links or more is taken back.
 3. Sizes are made even: within a shard linked documents rank before unlinked
    ones, group by group.  What ranks beyond the shard's quota goes to the
    shards that lack rows, so unlinked documents move first and at most the
@@ -39,7 +41,8 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 SHARDS = 24
-ROUNDS = 3
+ROUNDS = 8           # at most; rounds end when no more links become whole
+HOT_SHARE = 1_000    # a group with more than this part of all rows is joined by a broadcast
 CELL_ROWS = 4_000    # rows numbered by one window partition, in expectation
 MOVE_RANGES = 256    # hash ranges of a shard by which small hubs are placed; a hub larger than such a part of a quota is large
 
@@ -59,45 +62,88 @@ def _pick(index: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (index + 1).cast("int"))
 
 
-def _place(items, quotas: list[int]) -> list[int]:
-    """A shard for each item (size, votes of the shards), largest first: most votes, then most room, among those with room."""
-    room, at = list(quotas), [0] * len(items)
-    for k in sorted(range(len(items)), key=lambda k: (-items[k][0], k)):
-        size, votes = items[k]
-        fits = [s for s, r in enumerate(room) if r >= size]
-        at[k] = max(fits, key=lambda s: (votes[s], room[s])) if fits else max(range(len(room)), key=room.__getitem__)
-        room[at[k]] -= size
-    return at
+def _decide(items: list[tuple[int, list[int]]], wish: list[int], quotas: list[int]) -> list[int]:
+    """A shard for each group (size, members in each shard).
+
+    A group that is whole where it wishes to be stays there.  The others follow,
+    the largest first, each to the shard it wishes if that has room for it, else
+    to the shard with most of its members among those with room (the emptiest
+    where none has).  Members of groups that are still to be placed hold no room,
+    and neither do unlinked documents: they make way.
+    """
+    room, out = list(quotas), [0] * len(items)
+    whole = [held[w] == size for (size, held), w in zip(items, wish)]
+    for k in sorted(range(len(items)), key=lambda k: (not whole[k], -items[k][0], k)):
+        size, held = items[k]
+        fits = [s for s in range(len(room)) if size <= room[s]]
+        if whole[k] or wish[k] in fits:
+            out[k] = wish[k]
+        elif fits:
+            out[k] = max(fits, key=lambda s: (held[s], room[s], -s))
+        else:
+            out[k] = max(range(len(room)), key=lambda s: (room[s], -s))
+        room[out[k]] -= size
+    return out
+
+
+def _hub_votes(links: DataFrame, state: DataFrame, shards: int) -> DataFrame:
+    """(hub, size, votes): members of each hub, and how many are in each shard."""
+    votes = [F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]
+    return links.join(state, "rid").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.array(*votes).alias("votes"))
 
 
-def propagate(state: DataFrame, links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``state`` (rid, shard) of the linked documents after propagation over ``links`` (rid, hub), one hub a document.
+def cut_links(hubs: DataFrame) -> int:
+    """Links (document, hub) whose document is not where most of the hub's members are."""
+    return hubs.agg(F.coalesce(F.sum(F.col("size") - F.array_max("votes")), F.lit(0))).first()[0]
 
-    Every hub is placed in a round, so a second one has nothing to move.
+
+def propagate(state: DataFrame, links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
+    """``state`` (rid, shard) of the linked documents after propagation over ``links`` (rid, hub), and the cut links.
+
+    A document may have several hubs.  The list starts with the links that are
+    cut before the first round and goes on with those after each round.
     """
-    if not rounds:
-        return state
+    shards = len(quotas)
+    hubs = materialise(_hub_votes(links, state, shards), "shard-hubs")
+    cuts = [cut_links(hubs)]
+    for _ in range(rounds):
+        if not cuts[-1]:
+            break
+        moved = materialise(_round(state, links, hubs, quotas), "shard-state")
+        after = materialise(_hub_votes(links, moved, shards), "shard-hubs")
+        cut = cut_links(after)
+        if cut >= cuts[-1]:
+            break
+        state, hubs = moved, after
+        cuts.append(cut)
+    return state, cuts
+
+
+def _round(state: DataFrame, links: DataFrame, hubs: DataFrame, quotas: list[int]) -> DataFrame:
+    """``state`` after one round."""
     spark, shards = links.sparkSession, len(quotas)
-    votes = [F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]
-    hubs = materialise(links.join(state, "rid").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.array(*votes).alias("votes"))
-                       .withColumn("top", (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
-                       .withColumn("large", F.col("size") * MOVE_RANGES > max(quotas, default=0))
-                       .withColumn("item", F.when(F.col("large"), F.col("hub")).otherwise(
-                           F.floor(_fraction(F.xxhash64("hub", F.lit("place"))) * MOVE_RANGES))), "shard-hubs")
-    # At most shards x MOVE_RANGES large hubs, since they hold different rows, and as many ranges of small ones.
-    summed = [F.sum(F.col("votes")[s]) for s in range(shards)]
-    large = hubs.where("large").select(F.lit(True).alias("large"), F.lit(-1).alias("top"), "item", "size", "votes")
-    small = hubs.where("not large").groupBy("large", "top", "item").agg(F.sum("size").alias("size"), F.array(*summed).alias("votes"))
-    items = large.unionByName(small).orderBy("large", "top", "item").collect()
-    at = _place([(r["size"], r["votes"]) for r in items], quotas)
-    placed = spark.createDataFrame([(r["large"], r["top"], r["item"], s) for r, s in zip(items, at)],
-                                   "large boolean, top int, item bigint, at int")
-    big = placed.where("large").select(F.col("item").alias("hub"), "at")  # broadcast, so that no task gets a large hub's rows
-    spread = links.join(F.broadcast(big), "hub", "left")
-    rest = hubs.where("not large").join(F.broadcast(placed), ["large", "top", "item"]).select("hub", "at")
-    out = spread.where(F.col("at").isNotNull()).select("rid", "at").unionByName(
-        spread.where(F.col("at").isNull()).drop("at").join(rest, "hub").select("rid", "at"))
-    return materialise(out.withColumnRenamed("at", "shard"), "shard-state")
+    large = F.col("size") * MOVE_RANGES > max(quotas, default=0)
+    told = hubs.select("hub", "size", "votes", large.alias("large"), F.when(large, F.col("hub")).otherwise(
+        F.floor(_fraction(F.xxhash64("hub", F.lit("place"))) * MOVE_RANGES)).alias("item"))
+    # Large hubs are broadcast, so that no task gets one's links: at most shards x MOVE_RANGES for each hub of a document.
+    big = told.where("large").withColumnRenamed("hub", "of")
+    heard = links.join(F.broadcast(big), F.col("hub") == F.col("of"), "left").drop("of")
+    rest = heard.where("size IS NULL").select("rid", "hub").join(told.where("not large"), "hub")
+    heard = heard.where("size IS NOT NULL").select(*rest.columns).unionByName(rest)
+    pull = heard.groupBy("rid").agg(F.max(F.struct("size", "hub", "large", "item")).alias("lead"),
+                                    *[F.sum(F.col("votes")[s]).alias(f"p{s}") for s in range(shards)])
+    turn = F.pmod(F.xxhash64("lead.hub", F.lit("turn")), F.lit(shards)).cast("int")
+    best = F.array_max(F.array(*[F.struct(F.col(f"p{s}").alias("p"), F.pmod(turn + s, F.lit(shards)).alias("o"), F.lit(s).alias("s"))
+                                 for s in range(shards)]))
+    wishes = materialise(pull.join(state, "rid").select("rid", "shard", F.col("lead.large").alias("large"), F.col("lead.item").alias("item"),
+                                                        best["s"].alias("wish")), "shard-wishes")
+    key = ["wish", "large", "item"]
+    held = [F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]
+    groups = wishes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array(*held).alias("held")).orderBy(*key).collect()
+    at = _decide([(g["n"], g["held"]) for g in groups], [g["wish"] for g in groups], quotas)
+    decided = spark.createDataFrame([(g["wish"], g["large"], g["item"], s) for g, s in zip(groups, at)],
+                                    "wish int, large boolean, item bigint, at int")  # as bounded as the groups
+    return wishes.join(F.broadcast(decided), key).select("rid", F.col("at").alias("shard"))
 
 
 def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -111,12 +157,16 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Dat
     quotas = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     start = F.pmod(F.xxhash64("rid", F.lit("shard")), F.lit(n_shards)).cast("int")
 
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    sizes = materialise(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shard-sizes")
+    hot = F.broadcast(sizes.where(F.col("n") * HOT_SHARE > total))  # fewer than HOT_SHARE rows
+    cold = sizes.where(F.col("n") * HOT_SHARE <= total)
+    named = rows.select("rid", "group")
+    grouped = named.join(hot, "group").unionByName(named.join(hot, "group", "left_anti").join(cold, "group"))
     most = max(1, total // n_shards * 15 // 16)
     part = F.pmod(F.xxhash64("rid", F.lit("part")), F.ceil(F.col("n") / most))
-    links = materialise(rows.select("rid", "group").join(sizes, "group").select(
+    links = materialise(grouped.select(
         "rid", F.xxhash64("group", part).alias("hub"), F.least("n", F.lit(most)).alias("n")), "shard-links")
-    state = propagate(links.select("rid", start.alias("shard")), links.select("rid", "hub"), quotas, rounds)
+    state, _ = propagate(links.select("rid", start.alias("shard")), links.select("rid", "hub"), quotas, rounds)
 
     linked = links.join(state.withColumnRenamed("shard", "at"), "rid")
     cells = max(1, total // (n_shards * CELL_ROWS))

@@ -7,9 +7,12 @@ logistic unit scores the weighted representation.  Labels belong to
 documents, never to passages; the attention finds the passages that decide.
 
 The network is fitted in numpy on the driver, on at most ``MAX_TRAIN``
-labelled documents in the order of a hash of their id (a documented bound;
-their features are a few MB).  The model is a few kB and is shipped with the
-task; every whole text is scored in one pass without a shuffle.
+labelled documents in the order of a hash of their id, and at most
+``MAX_PASSAGES`` passages of them (documented bounds: about 40 MB of features
+reach the driver, however long the texts are or however often an id occurs).
+Documents are whole or left out; one with more than a fiftieth of the passages
+is not fitted on.  The model is a few kB and is shipped with the task; every
+whole text is scored in one pass without a shuffle.
 
 Defined results: null, empty and wordless texts are one passage of zeros;
 documents without a label, or a label without a document, are not trained on,
@@ -28,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import append_columns, crc_mod, slices
+from .common import append_columns, crc_mod, materialise, slices
 
 PASSAGE = 64       # words
 BUCKETS = 32       # hashed words
 MAX_TRAIN = 6_000  # labelled documents that the network is fitted on
+MAX_PASSAGES = 200_000  # passages of them, 4 x N_FEATURES bytes each
 CUT = 0.7
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 
@@ -99,6 +103,21 @@ def _forward(p: dict, x: np.ndarray, doc: np.ndarray):
     return at, hid, tv_, su, gate, a, z, _sigmoid(z @ p["c"] + p["c0"])
 
 
+def gradients(p: dict, x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict:
+    """Gradients of the mean logistic loss."""
+    at, hid, tv_, su, gate, a, z, prob = _forward(p, x, doc)
+    d = (prob - y) / y.size
+    dz = d[:, None] * p["c"]
+    of = dz[doc]
+    da = np.einsum("ij,ij->i", hid, of)
+    ds = a * (da - np.add.reduceat(a * da, at)[doc])
+    dg = ds[:, None] * p["w"]
+    dt, du = dg * su * (1 - tv_ * tv_), dg * tv_ * su * (1 - su)
+    dh = (a[:, None] * of + dt @ p["V"].T + du @ p["U"].T) * (1 - hid * hid)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": hid.T @ dt, "U": hid.T @ du, "w": gate.T @ ds,
+            "c": z.T @ d, "c0": np.array([d.sum()])}
+
+
 def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict:
     """Adam on the mean logistic loss over all documents at once."""
     rng = np.random.default_rng(SEED)
@@ -107,17 +126,7 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict:
          "w": rng.normal(0, GATE ** -0.5, GATE), "c": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "c0": np.zeros(1)}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        at, hid, tv_, su, gate, a, z, prob = _forward(p, x, doc)
-        d = (prob - y) / y.size
-        dz = d[:, None] * p["c"]
-        of = dz[doc]
-        da = np.einsum("ij,ij->i", hid, of)
-        ds = a * (da - np.add.reduceat(a * da, at)[doc])
-        dg = ds[:, None] * p["w"]
-        dt, du = dg * su * (1 - tv_ * tv_), dg * tv_ * su * (1 - su)
-        dh = (a[:, None] * of + dt @ p["V"].T + du @ p["U"].T) * (1 - hid * hid)
-        grad = {"W": x.T @ dh, "b": dh.sum(0), "V": hid.T @ dt, "U": hid.T @ du, "w": gate.T @ ds,
-                "c": z.T @ d, "c0": np.array([d.sum()])}
+        grad = gradients(p, x, doc, y)
         for k, g in grad.items():
             g = g + DECAY * p[k]
             m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -126,14 +135,15 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> dict:
     return p
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN) -> dict:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_train: int = MAX_TRAIN,
+          max_passages: int = MAX_PASSAGES) -> dict:
     """Model from ``labels`` (doc_id, quality) that are ``usable`` (default: not held out)."""
     usable = (crc_mod("doc_id", HELD_MODULUS) != HELD_REMAINDER) if usable is None else usable
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(usable)
               .select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
               .orderBy(F.xxhash64("id"), "id", "y").limit(max_train))
     joined = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")  # at most max_train rows
+        F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")  # chosen: at most max_train rows
 
     def describe(batches):
         for batch in batches:
@@ -141,10 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
                 x, doc = passages(part.column(2))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 blobs = [x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], names=["id", "y", "x"])
-
-    schema = T.StructType([joined.schema["id"], joined.schema["y"], T.StructField("x", T.BinaryType())])
-    rows = sorted(joined.mapInArrow(describe, schema).collect(), key=lambda r: (r.id, r.y, bytes(r.x)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(cut), pa.int64()),
+                                                  pa.array(blobs, pa.binary())], names=["id", "y", "n", "x"])
+
+    schema = T.StructType([joined.schema["id"], joined.schema["y"], T.StructField("n", T.LongType()), T.StructField("x", T.BinaryType())])
+    bags = materialise(joined.mapInArrow(describe, schema), "mil-bags").where(F.col("n") <= max(1, max_passages // 50))
+    order = [F.xxhash64("id"), "id", "n", "y", "x"]
+    heads = bags.orderBy(*order).select("n").limit(max_train).collect()
+    taken = int(np.searchsorted(np.cumsum([r.n for r in heads]), max_passages, "right"))
+    rows = sorted(bags.orderBy(*order).limit(taken).collect(), key=lambda r: (r.id, r.y, bytes(r.x))) if taken else []
     y = np.array([r.y for r in rows], float)
     if y.size == 0 or y.min() == y.max():
         return {"constant": float(y.mean()) if y.size else 0.5}

@@ -11,7 +11,8 @@ text that is copied counts once; every row is judged.  It starts at
 coordinatewise medians and median deviations.  Each concentration step bins
 the distances, keeps per group the least set of whole bins that holds the
 half-set (n + p + 1) / 2, and takes that set's mean and covariance; one
-``groupBy(group, bin)`` gives both.  So nearly half of a group's distinct
+``groupBy(group, bin)`` gives both.  Steps go on until no group's determinant
+falls; each group keeps the estimate with its least one.  So nearly half of a group's distinct
 vectors may lie anywhere without carrying the estimate away.  No group
 is ever gathered: what leaves the map side is at most a few hundred bins a
 group.  Vectors are integers (1/1024 units), so that sums do not depend on
@@ -56,7 +57,8 @@ FLOOR = (1 / 64,) * DIM  # keeps the scatter of a concentration step regular
 # words, capitals.  One repeated line or phrase in an ordinary text must not reject it where most texts have none.
 LEAST = (0.2, 0.05, 0.35, 0.85, 0.8, 0.2)
 SUPPORT = 0.5           # the MCD covers this share of a group's vectors and of DIM + 1 more
-STEPS = 3               # concentration steps
+MAX_STEPS = 20          # concentration steps; they end when no group's determinant falls any more
+LEAST_FALL = 1e-3       # fall of a log determinant that counts
 BINS = 16               # distance bins per unit of ln(1 + d^2)
 MIN_GROUP = 100
 TAIL_Z = 3.09           # normal quantile of the rejection tail, 0.999
@@ -150,8 +152,8 @@ def _solve(rows):
                 for j in range(i + 1):
                     cov[i, j] = cov[j, i] = getattr(r, f"q{i}_{j}") / r.n - mean[i] * mean[j]
             inv = np.linalg.inv(cov + floor)
-            out.append((r.pool, mean.tolist(), inv.ravel().tolist()))
-        yield pd.DataFrame(out, columns=["pool", "mean", "inv"])
+            out.append((r.pool, mean.tolist(), inv.ravel().tolist(), float(np.linalg.slogdet(cov + floor)[1])))
+        yield pd.DataFrame(out, columns=["pool", "mean", "inv", "logdet"])
 
 
 def _bounded(rows):
@@ -236,7 +238,28 @@ def _step(vectors: DataFrame, params: DataFrame) -> DataFrame:
     inside = _distance_bins(vectors, params, True).where(F.col("before") < SUPPORT * (F.col("total") + DIM + 1))
     names = [f"s{i}" for i in range(DIM)] + [f"q{i}_{j}" for i in range(DIM) for j in range(i + 1)]
     sums = inside.groupBy("pool").agg(F.sum("k").alias("n"), *[F.sum(c).alias(c) for c in names])
-    return sums.mapInPandas(_solve, PARAMS)
+    return sums.mapInPandas(_solve, PARAMS + ", logdet double")
+
+
+def concentrate(vectors: DataFrame, params: DataFrame, max_steps: int = MAX_STEPS) -> tuple[DataFrame, int]:
+    """The estimate of each pool with the least determinant over the concentration steps, and the steps taken.
+
+    A pool is done when a step lowers its log determinant by less than
+    ``LEAST_FALL``; later steps leave its rows out.
+    """
+    best = materialise(_step(vectors, params), "mcd-step0")
+    going, steps = best, 1
+    while steps < max_steps:
+        last = best.join(going.select("pool"), "pool", "left_semi")
+        step = materialise(_step(vectors, last), f"mcd-step{steps}")  # the join with ``last`` keeps the pools that go on
+        old = best.select("pool", F.col("logdet").alias("before"))
+        better = materialise(step.join(old, "pool").where(F.col("logdet") < F.col("before") - LEAST_FALL).drop("before"), "mcd-better")
+        steps += 1
+        if better.isEmpty():
+            break
+        best = materialise(best.join(better.select("pool"), "pool", "left_anti").unionByName(better), "mcd-best")
+        going = better
+    return best, steps
 
 
 def chi2_quantile(z: float, p: int = DIM) -> float:
@@ -255,8 +278,8 @@ def estimate(vectors: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     side, _ = broadcast_if_small(pools, 100_000)
     pooled = vectors.join(side, "g").where(F.col("pool").isNotNull()).select("pool", "x")
     params = materialise(_start(pooled), "mcd-start")
-    for i in range(STEPS):
-        params = materialise(_step(pooled, params), f"mcd-step{i}")
+    params, _ = concentrate(pooled, params)
+    params = params.drop("logdet")
     bins = _distance_bins(pooled, params, False)
     mid = (bins.where(F.col("before") + F.col("k") >= 0.5 * F.col("total")).groupBy("pool")
            .agg(F.expr(f"exp((min(b) + 0.5) / {BINS}) - 1").alias("mid")))

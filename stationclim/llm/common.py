@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import drop_path, scratch_path
 
 # Text bytes and rows that one numpy step inside a task works on.
 SLICE_BYTES = 2_000_000
@@ -28,8 +28,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     recomputation, and generated row ids stay what they were.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+_WRITTEN: list[list[str]] = []  # folders written inside each ``tidied`` call that runs
+
+
+def tidied(make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``make`` returns, after the scratch folders that it wrote and that the frame does not read are deleted."""
+    _WRITTEN.append([])
+    try:
+        out = make()
+    finally:
+        written = _WRITTEN.pop()
+    segments = {part for f in out.inputFiles() for part in f.split("/")}
+    for path in written:
+        if path.rsplit("/", 1)[1] not in segments:
+            drop_path(out.sparkSession, path)
+        elif _WRITTEN:
+            _WRITTEN[-1].append(path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a ``materialise``d frame that nothing reads any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
 def fresh(name: str, taken) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat, decontaminate, filter_audit, language_id, language_model, licences, near_dup, packing, quality_model, quality_rules, sharding, token_counts, whitening)
-from .common import table
+from .common import table, tidied
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,17 @@ def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (
+def _tidy(query):
+    """The query, leaving no scratch folder but those that its result reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidied(lambda: query(spark, sf_dir))
+
+    return run
+
+
+QUERIES = {f.__name__: _tidy(f) for f in (
     op1_bag_minhash, op2_attention_mil, op3_label_propagation, op4_prefix_join, op5_attention_lm, op6_licence_digests, op7_viterbi_counts, op8_robust_outliers,
     op9_budgeted_windows, op10_conflict_best_fit,
     op11_subword_language, op12_posting_audit, op13_feast_whitening)}

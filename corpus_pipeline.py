@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stationclim.llm import decontaminate, near_dup, packing, quality_model, quality_rules
-from stationclim.llm.common import materialise, table
+from stationclim.llm.common import discard, materialise, table, tidied
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages applied to ``documents``; a stage's documents are deleted when the next stage's are written.
+
+    Null texts, languages, sources and ids, repeated rows and extra columns pass
+    through as each stage defines them; an empty table gives no rows.
+    """
+
+    def apply() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            kept = tidied(lambda: materialise(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            discard(docs)
+            docs = kept
+        return STAGES[-1][1](spark, docs, sf_dir)
+
+    return tidied(apply)

@@ -13,8 +13,8 @@ as a known text (the header above some code).  The table of known texts is an
 argument; ``KNOWN`` holds common notices and the licences in
 ``known_licences/``, as wrapped there and with one line a paragraph.
 
-Spark expressions, and Arrow for the runs of blocks.  Digests are joined
-against a table whose size is checked before it is broadcast; a line or run
+Spark expressions; Arrow for the runs of blocks and the lookup inside a row.
+The table of digests is broadcast after a check of its size; a line or run
 whose canonical length is that of no known text is dropped before it is hashed.
 
 Defined results: null and empty texts have an empty canonical form, which is
@@ -121,6 +121,8 @@ KNOWN = (
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
 
+SMALL_TABLE = 10_000  # known digests (64 characters each) that every executor holds
+
 # A line that only names a copyright holder, or reserves all rights.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$|^[ \t#*/;-]*all rights reserved\.?[ \t]*$"
 
@@ -195,55 +197,74 @@ def _block_runs(text: str, lengths: list[int]) -> list[tuple[int, int, str]]:
     return out
 
 
+_RUN = pa.struct([("i", pa.int32()), ("j", pa.int32()), ("id", pa.string())])
+_RUNS = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("id", T.StringType())]))
+
+
 def _with_runs(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """``df`` with the runs of its column ``blocks`` in that column's place."""
-    run_type = T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                                         T.StructField("digest", T.StringType())]))
+    """``df`` with the runs of its column ``blocks`` in that column's place; a run's ``id`` is its digest."""
     kept = [c for c in df.columns if c != "blocks"]
-    arrow = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("digest", pa.string())]))
 
     def run(batches):
         for b in batches:
-            runs = [[dict(zip(("i", "j", "digest"), x)) for x in _block_runs(t.as_py(), lengths)] for t in b.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(runs, arrow)], names=[*kept, "runs"])
+            runs = [[dict(zip("ij", x), id=x[2]) for x in _block_runs(t.as_py(), lengths)] for t in b.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], pa.array(runs, pa.list_(_RUN))], names=[*kept, "runs"])
+
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("runs", _RUNS)])
+    return df.select(*kept, "blocks").mapInArrow(run, schema)
+
 
-    return df.select(*kept, "blocks").mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField("runs", run_type)]))
+def _looked_up(df: DataFrame, by_digest: dict[str, str]) -> DataFrame:
+    """(doc_id, text_digest, f, runs): the licences of ``line_digests`` and of the runs of ``blocks`` that are known.
+
+    ``by_digest`` has a checked number of entries and goes to every executor once.
+    """
+    lengths = sorted({n for n, _ in by_digest.values()})
+    table = df.sparkSession.sparkContext.broadcast({d: name for d, (_, name) in by_digest.items()})
+
+    def run(batches):
+        names = table.value
+        for b in batches:
+            f = [[names[d] for d in ds.as_py() if d in names] for ds in b.column(2)]
+            runs = [[{"i": i, "j": j, "id": names[d]} for i, j, d in _block_runs(t.as_py(), lengths) if d in names] for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(f, pa.list_(pa.string())), pa.array(runs, pa.list_(_RUN))],
+                                             names=["doc_id", "text_digest", "f", "runs"])
+
+    schema = T.StructType([df.schema["doc_id"], df.schema["text_digest"], T.StructField("f", T.ArrayType(T.StringType())),
+                           T.StructField("runs", _RUNS)])
+    return df.select("doc_id", "text_digest", "line_digests", "blocks").mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per document: doc_id, text_digest, license_id (the whole text; null if unknown), n_notices, notice_ids.
 
-    Lines and runs of blocks are looked up inside the row: the known digests
-    become one map column while their number is within the broadcast bound
-    (checked), so that no line is shuffled.  A larger table is joined line by
-    line and run by run.
+    Lines and runs of blocks are looked up inside the row while the known
+    digests are at most ``SMALL_TABLE`` (checked): they go to every executor as
+    one table, so that no line is shuffled.  A larger table is joined line by
+    line and run by run; only its distinct lengths reach the driver, which are
+    no more than the longest known text has characters.
     """
     base = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     base = base.select("doc_id", "lines", F.array_join("lines", "\n").alias("blocks"),
                        F.sha2(whole_form(F.col("lines")), 256).alias("text_digest"))
-    lens = sorted(r[0] for r in known.select("canonical_length").distinct().collect())
-    side, small = broadcast_if_small(known, 10_000)
+    side, small = broadcast_if_small(known, SMALL_TABLE)
     whole = side.select(F.col("digest").alias("text_digest"), "license_id")
     if small:
-        table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("by_digest"),
-                          F.collect_set("canonical_length").alias("lengths"))
-        lines = F.filter(F.transform("lines", _phrased), lambda x: F.array_contains("lengths", F.length(x)))
-        found = F.filter(F.transform(lines, lambda x: F.try_element_at("by_digest", F.sha2(x, 256))), lambda x: x.isNotNull())
-        with_lines = base.join(F.broadcast(table), F.lit(True), "left").select("doc_id", "text_digest", "blocks", found.alias("f"))
-        with_lines = _with_runs(with_lines.withColumn("f", F.coalesce("f", F.array().cast("array<string>"))), lens)
-        with_lines = with_lines.join(F.broadcast(table.select("by_digest")), F.lit(True), "left").select(
-            "doc_id", "text_digest", "f", F.filter(F.transform("runs", lambda x: F.struct(
-                x["i"].alias("i"), x["j"].alias("j"), F.try_element_at("by_digest", x["digest"]).alias("id"))),
-                lambda x: x["id"].isNotNull()).alias("runs"))
+        by_digest = {r.digest: (r.canonical_length, r.license_id) for r in known.collect()}
+        lengths = sorted({n for n, _ in by_digest.values()})
+        lines = F.filter(F.transform("lines", _phrased), lambda x: F.length(x).isin(lengths))
+        digests = F.transform(lines, lambda x: F.sha2(x, 256))
+        with_lines = _looked_up(base.withColumn("line_digests", digests), by_digest)
     else:
         rid = base.withColumn("rid", F.monotonically_increasing_id())
         lengths = known.select("canonical_length").distinct()
+        lens = sorted(r[0] for r in lengths.collect())
         lines = rid.select("rid", F.explode("lines").alias("line")).select("rid", _phrased(F.col("line")).alias("c"))
         lines = lines.join(lengths, F.length("c") == F.col("canonical_length"), "left_semi")
         hit = (lines.select("rid", F.sha2("c", 256).alias("digest")).join(known, "digest")
                .groupBy("rid").agg(F.collect_list("license_id").alias("f")))
         runs = (_with_runs(rid.select("rid", "blocks"), lens).select("rid", F.explode("runs").alias("r"))
-                .select("rid", "r.i", "r.j", "r.digest").join(known, "digest")
+                .select("rid", "r.i", "r.j", F.col("r.id").alias("digest")).join(known, "digest")
                 .groupBy("rid").agg(F.collect_list(F.struct("i", "j", F.col("license_id").alias("id"))).alias("runs")))
         with_lines = rid.drop("lines", "blocks").join(hit, "rid", "left").join(runs, "rid", "left").select(
             "doc_id", "text_digest", F.coalesce("f", F.array().cast("array<string>")).alias("f"), "runs")
@@ -257,27 +278,47 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
         F.concat_ws(",", F.array_sort(F.array_distinct("f"))).alias("notice_ids"))
 
 
-def _sql_canonical(text: str) -> str:
+def _sql_spelled(c: str, pairs) -> str:
+    for old, new in pairs:
+        c = f"replace({c}, ' {old} ', ' {new} ')"
+    return c
+
+
+def _sql_canonical(text: str, pairs=(*_ONE_WORD, *_PHRASES)) -> str:
     c = f"lower(coalesce({text}, ''))"
     c = f"regexp_replace({c}, '(?m)^[ \\t#*/;-]*(copyright|\\(c\\)|©)[^\\n]*$|^[ \\t#*/;-]*all rights reserved\\.?[ \\t]*$', ' ', 'g')"
     c = f"' ' || trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-    for old, new in [*_ONE_WORD, *_PHRASES]:
-        c = f"replace({c}, ' {old} ', ' {new} ')"
-    return f"trim({c})"
+    return f"trim({_sql_spelled(c, pairs)})"
 
 
 def oracle() -> str:
-    """DuckDB: the same canonical form, all lines exploded and joined with the known texts."""
+    """DuckDB: the same canonical form; all lines, and all runs of blocks, are listed and joined with the known texts.
+
+    A run is a block's begin and a block's end that stand as far apart as a known text is long.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    block = _sql_spelled("' ' || replace(b, chr(10), ' ') || ' '", _PHRASES)
     return f"""
-with k as (select sha256({_sql_canonical('body')}) as digest, min(id) as license_id from (values {values}) v(id, body) group by 1),
+with known as (select id, {_sql_canonical('body')} as c from (values {values}) v(id, body)),
+k as (select sha256(c) as digest, min(id) as license_id, max(length(c)) as n from known where c <> '' group by 1),
+sizes as (select distinct n from k),
 d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
-l as (select rid, unnest(string_split(text, chr(10))) as line from d),
+l as (select rid, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
 c as (select rid, {_sql_canonical('line')} as c from l),
-h as (select rid, count(*) as n, string_agg(distinct license_id, ',' order by license_id) as ids
-      from c join k on sha256(c.c) = k.digest where c.c <> '' group by rid)
-select doc_id, sha256({_sql_canonical('text')}) as text_digest, k.license_id as license_id,
-  coalesce(h.n, 0) as n_notices, coalesce(h.ids, '') as notice_ids
-from d left join h using (rid) left join k on k.digest = sha256({_sql_canonical('d.text')})
+h as (select rid, license_id as id from c join k on sha256(c.c) = k.digest where c.c <> ''),
+t as (select rid, trim(string_agg({_sql_canonical('line', _ONE_WORD)}, chr(10) order by pos), chr(10)) as t from l group by rid),
+bl as (select rid, list_filter(regexp_split_to_array(t, '\n\n+'), lambda x: x <> '') as blocks from t),
+bf as (select rid, blocks, list_transform(blocks, lambda b: trim({block})) as forms from bl),
+b as (select rid, unnest(blocks) as b, unnest(forms) as form, generate_subscripts(forms, 1) as i from bf),
+place as (select rid, i, contains(b, chr(10)) as many, sum(length(form) + 1) over (partition by rid order by i) - 1 as fin, length(form) as len,
+         sum(length(form) + 1) over (partition by rid) - 1 as total from b),
+span as (select s.rid, s.i, e.i as j from place s cross join sizes join place e on e.rid = s.rid and e.fin = s.fin - s.len + sizes.n
+         where sizes.n < s.total and (s.i < e.i or (s.i = e.i and s.many))),
+r as (select span.rid, i, j, k.license_id as id from span join bf using (rid) join k on k.digest = sha256(array_to_string(forms[i:j], ' '))),
+longest as (select rid, id from r where not exists (select 1 from r o where o.rid = r.rid and o.i <= r.i and o.j >= r.j and o.j - o.i > r.j - r.i)),
+w as (select rid, doc_id, sha256({_sql_canonical('text')}) as text_digest, k.license_id from d left join k on k.digest = sha256({_sql_canonical('text')})),
+f as (select * from h union all select rid, id from longest semi join (select rid from w where license_id is null) using (rid)),
+g as (select rid, count(*) as n, string_agg(distinct id, ',' order by id) as ids from f group by rid)
+select doc_id, text_digest, license_id, coalesce(g.n, 0) as n_notices, coalesce(g.ids, '') as notice_ids from w left join g using (rid)
 """

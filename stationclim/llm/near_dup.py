@@ -20,7 +20,10 @@ Search.  Equal texts become one representative first.  ``BANDS`` bands of
 ``ROWS`` components give buckets; a pair at the threshold meets in at least
 one with probability 1 - (1 - 0.8^8)^48 > 0.9998.  In each bucket all members
 are verified against one hub.  Buckets whose members then still belong to
-several classes get new hubs, twice.  What is still open (dense groups just
+several classes get new hubs, twice.  The representatives' texts are shuffled
+once, into a table bucketed by row id; a round shuffles ids, and one text for
+every pair it verifies.  A hub with many partners is split over several keys.
+What is still open (dense groups just
 below the threshold) is compared exactly in blocks: texts connected by open
 buckets are dealt into blocks of about ``BLOCK`` rows, one task compares two
 blocks by a product of their shingle matrices, and only links leave it.
@@ -43,6 +46,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.sizing import broadcast_if_small, write_bucketed_table
+from ..session import drop_path
 from . import textvec as tv
 from .common import append_columns, arrow_rows, fresh, materialise, slices
 
@@ -52,6 +57,7 @@ BANDS = 48
 ROWS = 8
 EXTRA_ROUNDS = 2
 BLOCK = 64
+HUB_PAIRS = 2_000  # pairs of a hub that meet in one key
 COLUMNS = 8_192  # shingles of a block pair that are multiplied at once
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -150,11 +156,36 @@ def overlap(a: pa.Array, b: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray,
     return both, total - both
 
 
-def verify(pairs: DataFrame, signed: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) of row ids whose texts are similar enough, written to the scratch folder."""
-    texts = signed.select("rid", "text")
-    wide = (pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+def own_texts(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rows`` whose row id is in ``reps`` (rid), as a table bucketed by row id.
+
+    Texts are shuffled here once.  Joins on the row id that follow shuffle their
+    other side only.  The semi join leaves as many hash partitions as there are
+    buckets, so that a bucket is written by one task.
+    """
+    conf = rows.sparkSession.conf
+    n = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+    return write_bucketed_table(rows.join(reps.hint("shuffle_hash"), "rid", "left_semi"), "dup_texts", ["rid"], int(n))
+
+
+def _with_text(ids: DataFrame, texts: DataFrame, rid: str, text: str) -> DataFrame:
+    """``ids`` and the text of their row id ``rid``; the hash table of a task holds ids, never texts."""
+    return texts.select(F.col("rid").alias(rid), F.col("text").alias(text)).join(ids.hint("shuffle_hash"), rid)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """The pairs (a, b) of row ids whose texts are similar enough, written to the scratch folder.
+
+    ``a`` is a hub that may have any number of partners, ``b`` has at most one a
+    bucket.  Every pair takes b's text along to the hub's; a hub of more than
+    ``HUB_PAIRS`` pairs is split over that many more keys, each with a copy of its text.
+    """
+    hubs = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("long").alias("parts")), "dup-hub-parts")
+    split, _ = broadcast_if_small(hubs.where("parts > 1"))
+    salted = pairs.join(split, "a", "left").select(
+        "a", "b", F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("b"), "parts")).alias("salt"))
+    hub_texts = _with_text(hubs, texts, "a", "ta").select("a", "ta", F.explode(F.expr("sequence(0L, parts - 1)")).alias("salt"))
+    wide = _with_text(salted, texts, "b", "tb").join(hub_texts, ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -242,7 +273,7 @@ def _block_links(texts: pa.Array, size: int, threshold: float) -> np.ndarray:
     return both >= threshold * (weight[:, None] + weight - both) - 1e-9
 
 
-def _compare_blocks(members: DataFrame, rows: DataFrame, threshold: float, size: int) -> DataFrame:
+def _compare_blocks(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """Links (a, b) between classes among texts that open buckets connect."""
     first = materialise(members.groupBy("bucket").agg(F.min("rid").alias("a")), "dup-firsts")
     near = members.select("bucket", F.col("rid").alias("b")).join(first, "bucket").where(F.col("a") != F.col("b"))
@@ -264,7 +295,9 @@ def _compare_blocks(members: DataFrame, rows: DataFrame, threshold: float, size:
     pairs = materialise(pairs.select("grp", "block", "other", F.xxhash64("grp", "block", "other").alias("pair")), "dup-block-pairs")
     sides = pairs.select("grp", "block", "pair").unionByName(
         pairs.where(F.col("block") != F.col("other")).select("grp", F.col("other").alias("block"), "pair"))
-    wide = dealt.join(sides, ["grp", "block"]).select("pair", "rid", "comp").join(rows.select("rid", "text"), "rid")
+    placed = materialise(dealt.join(sides, ["grp", "block"]).select("pair", "rid", "comp"), "dup-block-rows")
+    # A row of a large group is in many pairs: the merge join streams them, a hash table would hold them.
+    wide = texts.select("rid", "text").join(placed, "rid").select("pair", "rid", "comp", "text")
 
     def compare(f):
         import pandas as pd
@@ -279,7 +312,8 @@ def _compare_blocks(members: DataFrame, rows: DataFrame, threshold: float, size:
 
 
 def _new_pairs(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """(a, b, hub) of pairs (x, hub y) that were not verified before; a < b, one of them the hub."""
+    ordered = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("y").alias("hub"))
     return materialise(ordered.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
 
 
@@ -293,13 +327,8 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHIN
     return materialise(signed, "dup-signed"), {"rid": rid, "digest": digest, "weight": names[0], "bands": names[1]}
 
 
-def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """(rid, class_id) of every row; class_id is the smallest row id of the class."""
-    rows = signed.select(*[F.col(c).alias(k) for k, c in names.items()],
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # One representative of equal texts.
-    reps = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "dup-reps")
-    own = rows.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi")
+def _linked(own: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(rid, comp) of the representatives that are linked with another one."""
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9  # noqa: E731  similarity is at most the ratio of weights
 
     every = materialise(own.select("rid", "weight", F.explode("bands").alias("bucket")), "dup-bands")
@@ -308,7 +337,7 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
     members = materialise(every.join(hubs, "bucket"), "dup-buckets")
     tested = materialise(members.where(F.col("rid") != F.col("hub")).select(
         F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "dup-pairs")
-    label = components(verify(tested, rows, threshold, size))
+    label = components(verify(tested, own, threshold, size))
 
     for i in range(EXTRA_ROUNDS + 1):
         members = _open_buckets(members, label)
@@ -320,12 +349,28 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
                 "bucket", F.col("h.rid").alias("y"), F.col("h.comp").alias("hc"), F.col("h.weight").alias("hw")), "dup-hubs")
             found = members.join(hub, "bucket").where((F.col("comp") != F.col("hc")) & near(F.col("weight"), F.col("hw")))
             pairs = _new_pairs(found.select(F.col("rid").alias("x"), "y"), tested)
-            tested = tested.unionByName(pairs)
-            more = verify(pairs, rows, threshold, size)
+            tested = tested.unionByName(pairs.select("a", "b"))
+            other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+            more = verify(pairs.select(F.col("hub").alias("a"), other.alias("b")), own, threshold, size)
         else:
-            more = _compare_blocks(members, rows, threshold, size)
+            more = _compare_blocks(members, own, threshold, size)
         if more.head(1):
             label = _merged(label, more)
+    return label
+
+
+def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """(rid, class_id) of every row; class_id is the smallest row id of the class."""
+    rows = signed.select(*[F.col(c).alias(k) for k, c in names.items()],
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # One representative of equal texts.
+    reps = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "dup-reps")
+    own = own_texts(rows.select("rid", "weight", "bands", "text"), reps.select(F.col("rep").alias("rid")))
+    try:
+        label = _linked(own, threshold, size)
+    finally:
+        rows.sparkSession.sql(f"DROP TABLE IF EXISTS {own._stationclim_table}")
+        drop_path(rows.sparkSession, own._stationclim_path)
 
     by_text = materialise(reps.join(label, reps["rep"] == label["rid"], "left").select(
         "digest", F.coalesce("comp", "rep").alias("class_id")), "dup-classes")

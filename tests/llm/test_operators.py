@@ -478,3 +478,34 @@ def test_components_against_union_find(spark, split):
 
 def test_components_without_links(spark):
     assert near_dup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_verify_splits_hot_hubs(spark, monkeypatch):
+    """A hub of many pairs meets them under several keys; each pair is verified once, as one by one."""
+    monkeypatch.setattr(near_dup, "HUB_PAIRS", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(60)] = f"e{rng.random()}"
+        texts.append(" ".join(t))
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid bigint, text string")
+    own = near_dup.own_texts(rows, spark.range(40).select(F.col("id").alias("rid")))
+    pairs = [(7, i) for i in range(40) if i != 7] + [(39, 2), (3, 38)]
+    got = near_dup.verify(spark.createDataFrame(pairs, "a bigint, b bigint"), own, 0.8, 5).collect()
+    sets = [shingle_counts(t) for t in texts]
+    want = [(a, b) for a, b in pairs
+            if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()) - 1e-9]
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and 0 < len(want) < len(pairs)
+
+
+def test_texts_are_shuffled_once(spark):
+    """Joins on the row id shuffle ids, not the bucketed texts."""
+    rows = spark.range(300).select(F.col("id").alias("rid"), F.concat(F.lit("t "), "id").alias("text"))
+    own = near_dup.own_texts(rows, spark.range(200).select(F.col("id").alias("rid")))
+    assert own.count() == 200
+    joined = near_dup._with_text(spark.range(50).select(F.col("id").alias("b")), own, "b", "tb")
+    plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(b") <= 1 and "Bucketed: true" in plan and joined.count() == 50

@@ -20,9 +20,10 @@ Search.  Equal texts become one representative first.  ``BANDS`` bands of
 ``ROWS`` components give buckets; a pair at the threshold meets in at least
 one with probability 1 - (1 - 0.8^8)^48 > 0.9998.  In each bucket all members
 are verified against one hub.  Buckets whose members then still belong to
-several classes get new hubs, twice.  The representatives' texts are shuffled
-once, into a table bucketed by row id; a round shuffles ids, and one text for
-every pair it verifies.  A hub with many partners is split over several keys.
+several classes get new hubs, twice.  The signed rows are shuffled once, into a
+table bucketed by row id that is the only copy of the texts; a round shuffles
+ids, and one text for every pair it verifies, and ``keep_one`` picks its rows by
+a shuffle of ids.  A hub with many partners is split over several keys.
 What is still open (dense groups just
 below the threshold) is compared exactly in blocks: texts connected by open
 buckets are dealt into blocks of about ``BLOCK`` rows, one task compares two
@@ -46,10 +47,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.sizing import broadcast_if_small, write_bucketed_table
-from ..session import drop_path
+from ..plans.sizing import broadcast_if_small
 from . import textvec as tv
-from .common import append_columns, arrow_rows, fresh, materialise, slices
+from .common import append_columns, arrow_rows, discard, fresh, materialise, materialise_bucketed, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -156,16 +156,14 @@ def overlap(a: pa.Array, b: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray,
     return both, total - both
 
 
-def own_texts(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """``rows`` whose row id is in ``reps`` (rid), as a table bucketed by row id.
+def own_rows(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rows`` (bucketed by row id) whose row id is in ``reps``; ids are shuffled, and a task's hash table holds ids."""
+    return rows.join(reps.hint("shuffle_hash"), "rid", "left_semi")
 
-    Texts are shuffled here once.  Joins on the row id that follow shuffle their
-    other side only.  The semi join leaves as many hash partitions as there are
-    buckets, so that a bucket is written by one task.
-    """
-    conf = rows.sparkSession.conf
-    n = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
-    return write_bucketed_table(rows.join(reps.hint("shuffle_hash"), "rid", "left_semi"), "dup_texts", ["rid"], int(n))
+
+def own_texts(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rows`` whose row id is in ``reps`` (rid), as a table bucketed by row id."""
+    return materialise_bucketed(own_rows(rows, reps), "dup_texts", "rid")
 
 
 def _with_text(ids: DataFrame, texts: DataFrame, rid: str, text: str) -> DataFrame:
@@ -250,7 +248,9 @@ def _open_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
         "bucket", "rid", "weight", F.coalesce("comp", "rid").alias("comp")), "dup-placed")
     several = materialise(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                           .where(F.col("lo") != F.col("hi")).select("bucket"), "dup-open")
-    return materialise(placed.join(several, "bucket"), "dup-members")
+    out = materialise(placed.join(several, "bucket"), "dup-members")
+    discard(placed)
+    return out
 
 
 def _block_links(texts: pa.Array, size: int, threshold: float) -> np.ndarray:
@@ -318,29 +318,36 @@ def _new_pairs(pairs: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> tuple[DataFrame, dict[str, str]]:
-    """All columns of ``docs`` with row id, digest, weight and band hashes, written to the scratch folder."""
+    """All columns of ``docs`` with row id, digest, weight and band hashes, bucketed by row id in the scratch folder.
+
+    A row id is a row's place in ``docs``, so ``docs`` must give its rows in the
+    same order when a task is repeated, as a scan of files does.
+    """
     rid = fresh("__rid", docs.columns)
     digest = fresh("__digest", docs.columns)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("*", F.monotonically_increasing_id().alias(rid), F.unhex(F.md5(text.cast("binary"))).alias(digest))
     signed, names = append_columns(keyed, F.col("text"), FIELDS, _sign(bands, rows, size))
-    return materialise(signed, "dup-signed"), {"rid": rid, "digest": digest, "weight": names[0], "bands": names[1]}
+    return materialise_bucketed(signed, "dup_signed", rid), {"rid": rid, "digest": digest, "weight": names[0], "bands": names[1]}
 
 
-def _linked(own: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(rid, comp) of the representatives that are linked with another one."""
+def _linked(rows: DataFrame, reps: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(rid, comp) of the representatives (rid) that are linked with another one; ``rows`` is bucketed by row id."""
     near = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9  # noqa: E731  similarity is at most the ratio of weights
 
-    every = materialise(own.select("rid", "weight", F.explode("bands").alias("bucket")), "dup-bands")
+    every = materialise(own_rows(rows.select("rid", "weight", "bands"), reps).select("rid", "weight", F.explode("bands").alias("bucket")), "dup-bands")
     hubs = materialise(every.groupBy("bucket").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("n"))
                        .where(F.col("n") > 1).select("bucket", "hub"), "dup-hubs")
     members = materialise(every.join(hubs, "bucket"), "dup-buckets")
+    discard(every)
+    discard(hubs)
     tested = materialise(members.where(F.col("rid") != F.col("hub")).select(
         F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "dup-pairs")
-    label = components(verify(tested, own, threshold, size))
+    label = components(verify(tested, rows, threshold, size))
 
     for i in range(EXTRA_ROUNDS + 1):
-        members = _open_buckets(members, label)
+        before, members = members, _open_buckets(members, label)
+        discard(before)
         if not members.head(1):
             break
         if i < EXTRA_ROUNDS:
@@ -351,9 +358,9 @@ def _linked(own: DataFrame, threshold: float, size: int) -> DataFrame:
             pairs = _new_pairs(found.select(F.col("rid").alias("x"), "y"), tested)
             tested = tested.unionByName(pairs.select("a", "b"))
             other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-            more = verify(pairs.select(F.col("hub").alias("a"), other.alias("b")), own, threshold, size)
+            more = verify(pairs.select(F.col("hub").alias("a"), other.alias("b")), rows, threshold, size)
         else:
-            more = _compare_blocks(members, own, threshold, size)
+            more = _compare_blocks(members, rows, threshold, size)
         if more.head(1):
             label = _merged(label, more)
     return label
@@ -365,13 +372,7 @@ def classes(signed: DataFrame, names: dict[str, str], threshold: float = THRESHO
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # One representative of equal texts.
     reps = materialise(rows.groupBy("digest").agg(F.min("rid").alias("rep")), "dup-reps")
-    own = own_texts(rows.select("rid", "weight", "bands", "text"), reps.select(F.col("rep").alias("rid")))
-    try:
-        label = _linked(own, threshold, size)
-    finally:
-        rows.sparkSession.sql(f"DROP TABLE IF EXISTS {own._stationclim_table}")
-        drop_path(rows.sparkSession, own._stationclim_path)
-
+    label = _linked(rows.select("rid", "weight", "bands", "text"), reps.select(F.col("rep").alias("rid")), threshold, size)
     by_text = materialise(reps.join(label, reps["rep"] == label["rid"], "left").select(
         "digest", F.coalesce("comp", "rep").alias("class_id")), "dup-classes")
     return rows.select("rid", "digest").join(by_text, "digest").select("rid", "class_id")
@@ -388,11 +389,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, with its own columns: the least doc_id, then the first row."""
+    """One document of each class, with its own columns: the least doc_id, then the first row; no text is shuffled for it."""
     signed, names = sign(docs)
     rid = names["rid"]
     found = classes(signed, names, threshold).join(
         signed.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("d")), "rid")
     stays = materialise(found.groupBy("class_id").agg(F.min(F.struct(F.col("d").isNull(), "d", "rid")).alias("s")).select(
         F.col("s.rid").alias(rid)), "dup-stays")
-    return signed.join(stays, rid, "left_semi").select(*docs.columns)
+    return signed.join(stays.hint("shuffle_hash"), rid, "left_semi").select(*docs.columns)
